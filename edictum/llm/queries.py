@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edictum.llm import mixing, sharding, simhash
+from edictum.llm import mixing, sharding, simhash, substring
 from edictum.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op5_sharding": op5_sharding,
     "op7_simhash": op7_simhash,
+    "op9_substring": op9_substring,
     "op10_mixing": op10_mixing,
 }
 
