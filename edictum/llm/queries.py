@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edictum.llm import mixing, quality, rules, sharding, simhash, substring
+from edictum.llm import decontaminate, mixing, quality, rules, sharding, simhash, substring
 from edictum.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_key")
+
+
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.removal_report(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_rules": op6_rules,
     "op7_simhash": op7_simhash,
+    "op8_decontaminate": op8_decontaminate,
     "op9_substring": op9_substring,
     "op10_mixing": op10_mixing,
 }
