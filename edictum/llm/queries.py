@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edictum.llm import decontaminate, mixing, quality, rules, sharding, simhash, substring
+from edictum.llm import decontaminate, mixing, quality, rules, sharding, simhash, substring, suffix
 from edictum.llm.common import table
 
 
+def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix": op1_suffix,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_rules": op6_rules,
