@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from edictum.llm import decontaminate, mixing, quality, rules, sharding, simhash, substring, suffix
+from edictum.llm import chat, decontaminate, lines, mixing, quality, rules, sharding, simhash, substring, suffix
 from edictum.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.removal_report(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_pairs(table(spark, sf_dir, "conversations"))
+
+
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +50,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_suffix": op1_suffix,
+    "op2_chat": op2_chat,
+    "op3_lines": op3_lines,
     "op4_quality": op4_quality,
     "op5_sharding": op5_sharding,
     "op6_rules": op6_rules,
@@ -51,4 +61,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op3_lines": lines.ORACLE}
