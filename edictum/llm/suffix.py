@@ -271,13 +271,17 @@ def repeated_in_blocks(rows: DataFrame, length: int) -> DataFrame:
 # --- the operator ---------------------------------------------------------------------
 
 
-def _affected(rows: DataFrame, length: int, gram: int, most_in_group: int) -> DataFrame:
-    """id, text_key, text, spans of texts with repeated windows."""
+def _affected(rows: DataFrame, later: DataFrame, length: int, gram: int, most_in_group: int) -> DataFrame:
+    """id, text_key, text, spans of texts with repeated windows, but for the ``later`` ones.
+
+    Those are taken out of the narrow segment rows: taking them out of the texts would mean
+    to shuffle all texts once more.
+    """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = saved(segments(rows, length, gram), "segments")
     shared = every.groupBy("key").agg(F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 OR several").select("key")
-    live = saved(every.join(shared, "key"), "live-segments")
+    live = saved(every.join(shared, "key").join(later, ["id", "text_key"], "left_anti"), "live-segments")
     contents = saved(live.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_key", "at")).alias("first"), F.max("several").alias("several")), "contents")
     twice = contents.where("n > 1").select("key", "c1", "c2")
     whole = live.join(twice, ["key", "c1", "c2"]).select("id", "text_key", "at")
@@ -330,8 +334,7 @@ def _plan(docs: DataFrame, length: int, gram: int, most_in_group: int) -> tuple[
     groups = marked.groupBy("text_key", "m").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     members = saved(marked.join(groups, ["text_key", "m"]).select("id", "text_key", (F.col("id") > F.col("first")).alias("later")).distinct(), "copies")
     later = members.where("later").select("id", "text_key")
-    single = rows.join(later, ["id", "text_key"], "left_anti").select("id", "text_key", "text")
-    left = _shortened(_affected(single, length, gram, most_in_group), length)
+    left = _shortened(_affected(rows.select("id", "text_key", "text"), later, length, gram, most_in_group), length)
     return rows, members.select("id", "text_key"), left
 
 
