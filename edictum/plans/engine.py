@@ -23,7 +23,8 @@ SETTINGS = {
 
 @dataclass
 class Step:
-    """Frames of one step; nothing but the window's bounds and small dimensions has run."""
+    """Frames of one step.  The schedule and the decisions are persisted: both are read often,
+    and a lost block is computed anew."""
 
     state: DataFrame
     events: DataFrame
@@ -63,8 +64,8 @@ def run_step(
     chosen, window = windowing.select_window(events, settings["window"], anchor, tuple(settings["event_ordering"]))
     quads = windowing.state_quads(state).unionByName(windowing.event_quads(chosen, domain))
     enabled = actions.enable(quads, chosen, rules, context, window["window_id"], domain)
-    scheduled = actions.schedule(enabled, tuple(settings["schedule_key"]))
+    scheduled = actions.schedule(enabled, tuple(settings["schedule_key"])).persist()
     active = tuple(context["active_roles"]) if context["enforce_active_roles"] and enforce_roles_in_resolution else None
     options = resolution.Options(domain.gate_order, settings["governance"]["conflict_policy"], active)
-    decisions = resolution.resolve(state, scheduled, constraints, domain, options)
+    decisions = resolution.resolve(state, scheduled, constraints, domain, options).persist()
     return Step(state, chosen, window, enabled, scheduled, decisions, resolution.successor(state, decisions), settings, context)
