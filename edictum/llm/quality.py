@@ -17,7 +17,7 @@ Verdict: log odds of a document = evidence + ``site_weight`` * (logit of the pat
 logit of the global rate); it is kept if both log odds stay below ``cut``.
 
 Defined cases: a null text has the features of the empty one; null sources and languages
-are sites of their own; without labelled rows of both kinds a model has the global rate only
+are sites of their own; without labelled rows of both kinds a model has one low rate for all
 and rejects nothing; labels without a document, and repeated ones, count as they join; a
 null label is no label; repeated rows are judged alike; empty tables give no rows.
 """
@@ -36,6 +36,7 @@ from edictum.llm.common import saved
 
 BITS = 20
 STRIP = b".,;:!?\"'()"
+UNKNOWN = -4.0  # log odds where the labels tell nothing
 HEADS = (("bad", "quality", 0), ("toxic", "toxic", 1))
 
 
@@ -73,7 +74,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, chi2: float = 25.0, rounds: int =
     n, ones = len(y), float(y.sum())
     rate = (ones + 0.5) / (n + 1)
     if not 0 < ones < n:
-        return weights, float(np.log(rate / (1 - rate)))
+        return weights, UNKNOWN
     sizes = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(n), sizes)
     seen = np.bincount(flat, minlength=1 << BITS).astype(float)
