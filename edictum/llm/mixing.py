@@ -139,9 +139,13 @@ def mixed_documents(docs: DataFrame, seed: int = 11, **settings) -> DataFrame:
     per source decides; the texts are not shuffled.
     """
     taken = mix(docs, seed=seed, **settings)
-    last = F.max(F.when(F.col("copies") > F.col("passes"), F.col("order_key")))
+
+    def place(key: Column) -> Column:
+        return key.bitwiseXOR(F.lit(-(1 << 63)))  # buckets order keys as unsigned numbers
+
+    last = F.max(F.when(F.col("copies") > F.col("passes"), place(F.col("order_key"))))
     ends = saved(taken.groupBy("mix_source").agg(F.max("passes").alias("_passes"), last.alias("_last")), "mix-ends")
-    copies = F.col("_passes") + F.coalesce((order_key(seed) <= F.col("_last")).cast("int"), F.lit(0))
+    copies = F.col("_passes") + F.coalesce((place(order_key(seed)) <= F.col("_last")).cast("int"), F.lit(0))
     return (
         docs.join(ends, docs["source"].eqNullSafe(ends["mix_source"]))
         .withColumn("_copies", F.when(F.regexp_count(docs["text"], F.lit(WORD)) > 0, copies).otherwise(0))
