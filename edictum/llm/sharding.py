@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from edictum.llm.common import bucket_bits, top_bits
+from edictum.llm.common import bucket_bits, saved, top_bits
 
 OVERHEAD = 16
 
@@ -31,20 +31,23 @@ def interleaved(docs: DataFrame, seed: int = 7, carry: tuple[str, ...] = ()) ->
 
     Looks at doc_id, source and text; keeps doc_id, ``_size``, ``_crc`` and ``carry``.
     """
-    total = docs.count()
-    bits = bucket_bits(total)
-    buckets = 1 << bits
     raw = F.encode("text", "UTF-8")
-    key = F.xxhash64(F.lit(seed), "doc_id", "source")
-    rows = docs.select(
-        *[F.col(c) for c in dict.fromkeys(("doc_id", *carry))],
-        F.col("source").alias("_source"),
-        (F.coalesce(F.octet_length(raw), F.lit(0)).cast("long") + OVERHEAD).alias("_size"),
-        F.coalesce(F.crc32(raw), F.lit(0)).alias("_crc"),
-        key.alias("_key"),
-        top_bits(key, bits).alias("_bucket"),
+    # Written once without the texts: ranks and counts must be of the same rows.
+    rows = saved(
+        docs.select(
+            *[F.col(c) for c in dict.fromkeys(("doc_id", *carry))],
+            F.col("source").alias("_source"),
+            (F.coalesce(F.octet_length(raw), F.lit(0)).cast("long") + OVERHEAD).alias("_size"),
+            F.coalesce(F.crc32(raw), F.lit(0)).alias("_crc"),
+            F.xxhash64(F.lit(seed), "doc_id", "source").alias("_key"),
+        ),
+        "shard-rows",
     )
-    per_bucket = docs.select(F.col("source").alias("_source"), top_bits(key, bits).alias("_bucket")).groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
+    total = rows.count()
+    bits = bucket_bits(total)
+    buckets = 1 << bits
+    rows = rows.withColumn("_bucket", top_bits(F.col("_key"), bits))
+    per_bucket = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
         F.col("_source").alias("_s"),
