@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from edictum.operators import actions, canon, resolution, windowing
 from edictum.sources import readers
 from edictum.sources.domain import HVAC, Domain
+from edictum.sources.shared import written
 
 SETTINGS = {
     "window": {"type": "sliding", "length_minutes": 5, "step_minutes": 1},
@@ -23,8 +24,8 @@ SETTINGS = {
 
 @dataclass
 class Step:
-    """Frames of one step.  The schedule and the decisions are persisted: both are read often,
-    and a lost block is computed anew."""
+    """Frames of one step.  Its quads, schedule and decisions are written to the shared folder:
+    each is read often, and eight rules over one written table plan faster than over its origin."""
 
     state: DataFrame
     events: DataFrame
@@ -62,10 +63,11 @@ def run_step(
     settings = readers.merged(SETTINGS, settings)
     context = readers.governance(settings, contexts)
     chosen, window = windowing.select_window(events, settings["window"], anchor, tuple(settings["event_ordering"]))
-    quads = windowing.state_quads(state).unionByName(windowing.event_quads(chosen, domain))
+    chosen = written(chosen, "window")
+    quads = written(windowing.state_quads(state).unionByName(windowing.event_quads(chosen, domain)), "quads")
     enabled = actions.enable(quads, chosen, rules, context, window["window_id"], domain)
-    scheduled = actions.schedule(enabled, tuple(settings["schedule_key"])).persist()
+    scheduled = written(actions.schedule(enabled, tuple(settings["schedule_key"])), "schedule")
     active = tuple(context["active_roles"]) if context["enforce_active_roles"] and enforce_roles_in_resolution else None
     options = resolution.Options(domain.gate_order, settings["governance"]["conflict_policy"], active)
-    decisions = resolution.resolve(state, scheduled, constraints, domain, options).persist()
-    return Step(state, chosen, window, enabled, scheduled, decisions, resolution.successor(state, decisions), settings, context)
+    decisions = written(resolution.resolve(state, scheduled, constraints, domain, options), "decisions")
+    return Step(state, chosen, window, scheduled.drop("schedule_index"), scheduled, decisions, resolution.successor(state, decisions), settings, context)
