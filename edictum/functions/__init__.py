@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Scalar functions of rules, as columns."""

@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Operators: each takes and returns DataFrames (or compiles to columns)."""

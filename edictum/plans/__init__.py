@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Plans put together from operators: steps, traces, presets, the query catalog."""

@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Scans, generated data, shared tables and the step store."""

@@ -1 +1 @@
-"""See README.md for what this subpackage holds."""
+"""Composition of steps over time."""
