@@ -76,7 +76,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, guarantee: int = GUARANTEE) -
     """doc_id, n_lines (non-blank), n_removed, kept_text of every document."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     starts = saved(later_runs(rows, gram, guarantee), "line-starts").withColumnsRenamed({"doc_id": "_d", "text_key": "_k"})
-    joined = rows.withColumn("text_key", F.xxhash64("text")).join(starts, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
+    # Merged at every size: with a broadcast below some size the plan would change with it.
+    joined = rows.withColumn("text_key", F.xxhash64("text")).join(starts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_k")), "left")
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + guarantee - 1))))
     cut = joined.select("doc_id", "text", F.coalesce(gone, F.array().cast("array<int>")).alias("gone"), F.split("text", "\n", -1).alias("lines"))
     ranked = cut.select(
