@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edictum.llm.common import saved
+from edictum.llm.common import saved, slices
 
 LENGTH = 400
 GRAM = 32
@@ -172,7 +172,7 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         powers = power_tables(1 << 16)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
             for id_, text_key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -199,7 +199,7 @@ def pieces(found: DataFrame, length: int) -> DataFrame:
     row for each window with its hash (``raw`` null)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names = ("key", "id", "text_key", "at", "raw", "h1", "h2")
             out: list[list] = [[] for _ in names]
 
@@ -254,7 +254,7 @@ def repeated_in_blocks(rows: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         held, size, last = [], 0, None
-        for batch in batches:
+        for batch in slices(batches):
             for key, id_, text_key, at, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != last and size >= BLOCK:
                     yield block(held)
@@ -289,7 +289,8 @@ def _affected(rows: DataFrame, later: DataFrame, length: int, gram: int, most_in
     wanted = contents.join(groups, "key").select("first.*", "key", "large")
     wanted = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("key", "at", "large")).alias("wanted"))
     concerned = live.select("id", "text_key").distinct().join(wanted, ["id", "text_key"], "left")
-    found = saved(rows.join(concerned, ["id", "text_key"]).select("id", "text_key", "text", "wanted").dropDuplicates(["id", "text_key"]), "concerned")
+    # Merged at every size: with a broadcast below some size the plan would change with it.
+    found = saved(rows.join(concerned.hint("merge"), ["id", "text_key"]).select("id", "text_key", "text", "wanted").dropDuplicates(["id", "text_key"]), "concerned")
     bits = saved(pieces(found.where("wanted IS NOT NULL"), length), "pieces")
     blocks = repeated_in_blocks(bits.where("raw IS NOT NULL").repartition(parts, "key").sortWithinPartitions("key"), length)
     large = bits.where("raw IS NULL")
@@ -312,7 +313,7 @@ def cut_spans(raw: bytes, spans: list[int], length: int) -> tuple[bytes, int, in
 
 def _shortened(found: DataFrame, length: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             left = [cut_spans(t.encode("utf-8", "surrogatepass"), s, length) for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in left], pa.binary()), pa.array([x[1] for x in left], pa.int64()), pa.array([x[2] for x in left], pa.int64()), pa.array([hashlib.sha256(x[0]).hexdigest() for x in left], pa.string())],
