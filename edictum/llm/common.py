@@ -43,6 +43,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices, so that few rows are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def top_bits(hashed: Column, bits: int) -> Column:
     """The leading bits of a 64-bit hash: an evenly filled bucket number."""
     return F.shiftrightunsigned(hashed, 64 - bits).cast("int") if bits else F.lit(0)
