@@ -233,21 +233,23 @@ def _same(column: Column, t: Term) -> Column:
 
 
 def _star(quads: DataFrame, graph: str | None, subject, patterns: list, uses: Counter) -> DataFrame:
-    rows = quads.where(F.col("g") == graph) if graph else quads
+    chosen = F.col("p").isin(sorted({p.lex for p, _ in patterns}))
+    if graph:
+        chosen &= F.col("g") == graph
     if isinstance(subject, Term):
-        rows = rows.where(F.col("s") == subject.lex)
-    rows = rows.where(F.col("p").isin(sorted({p.lex for p, _ in patterns})))
-    objects = []
+        chosen &= F.col("s") == subject.lex
+    objects, held = [], F.lit(True)
     for i, (p, o) in enumerate(patterns):
         fits = F.col("p") == p.lex
         if isinstance(o, Term):
             fits &= _same(F.col("o"), o)
         objects.append(F.collect_set(F.when(fits, F.col("o"))).alias(f"_{i}"))
-    table = rows.groupBy("s").agg(*objects)
-    for i in range(len(patterns)):
-        table = table.where(F.size(f"_{i}") > 0)
+        held &= F.size(f"_{i}") > 0
+    table = quads.where(chosen).groupBy("s").agg(*objects).where(held)
+    kept = {f"_{i}": F.col(f"_{i}") for i in range(len(patterns))}
     if isinstance(subject, Var):
-        table = table.withColumn(subject.name, term_column("iri", F.col("s")))
+        kept[subject.name] = term_column("iri", F.col("s"))
+        table = table.select(*[c.alias(n) for n, c in kept.items()])
     seen = {subject.name} if isinstance(subject, Var) else set()
     for i, (_, o) in enumerate(patterns):
         if not isinstance(o, Var):
