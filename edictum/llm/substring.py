@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edictum.llm.common import WORD, saved
+from edictum.llm.common import WORD, saved, slices
 
 WINDOW = 50
 PERIOD = 31
@@ -87,7 +87,7 @@ def own_places(places: list[int], text: str | None) -> np.ndarray:
 def _chunks(batches, convert, size):
     """Lists of converted rows with about ``size`` words each."""
     held, weight = [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             found, n = convert(row)
             if found is not None:
@@ -235,11 +235,13 @@ def affected(docs: DataFrame, copies: DataFrame, window: int = WINDOW, period: i
     where the windows start that a smaller doc_id holds."""
     differences = {(a - b) % period for a in cover for b in cover}
     assert len(differences) == period and window >= period, "no difference cover"
-    single = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("text_key", F.xxhash64("text")).join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    single = texts.withColumn("text_key", F.xxhash64("text")).join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = anchors(single, window, period, cover).repartition(n, "pk").sortWithinPartitions("pk", "doc_id")
     places = marks(dealt).groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
-    found = saved(single.join(places, "doc_id").select("doc_id", "text", "marks"), "candidates")
+    # Places tell texts apart themselves, so copies need not be taken out of the texts again.
+    found = saved(texts.join(places, "doc_id").select("doc_id", "text", "marks"), "candidates")
     windows = saved(candidate_windows(found, window, period), "windows")
     least = windows.where("at % 2 = 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     known = windows.where("at % 2 = 1").select("doc_id", F.expr("at div 2").alias("at"))
@@ -263,7 +265,7 @@ def _shortened(found: DataFrame, window: int) -> DataFrame:
     """doc_id, text_key, left_text, left_removed, left_sha256 of documents that lose words."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             removed, kept, digest = [], [], []
             for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 left, gone = kept_words(text, starts, window)
@@ -283,7 +285,7 @@ def _whole(rows: DataFrame) -> DataFrame:
     """doc_id, text_key, n_words, and the digest of all words, of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             total, digest = [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
