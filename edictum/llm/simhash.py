@@ -175,12 +175,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     names = named.join(least, "root").select("fp", "component_id")
     return rows.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component (all of them if repeated).
-
-    Rows without a doc_id can't be named and stay.
-    """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_keep"], "left_semi").union(docs.where("doc_id IS NULL"))
