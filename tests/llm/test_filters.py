@@ -132,8 +132,8 @@ def test_leaks(spark):
     items = [(10, QUESTION), (11, None), (12, "too short"), (9, QUESTION.replace("Paris", "Oslo"))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = {(r.doc_id, r.item_id): r.kind for r in decontaminate.leaks(frame, bench).collect()}
-    # Items 9 and 10 have one template and are searched as the least of them.
-    assert {k[0] for k in found} == {1, 2, 7, None} and {k[1] for k in found} == {9}
+    # Items 9 and 10 are one class: its least stands for it unless a member is there verbatim.
+    assert set(found) == {(1, 10), (2, 9), (7, 10), (None, 10)}
     assert found[(2, 9)] == "reparameterised"
     kept = sorted((r.doc_id for r in decontaminate.clean_documents(frame, bench).collect()), key=str)
     assert kept == [1, 3, 4, 5, 6]
