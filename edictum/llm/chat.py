@@ -37,8 +37,8 @@ def _mask(turns: Column) -> Column:
 def preference_pairs(conversations: DataFrame) -> DataFrame:
     """pair_id, n_prompt_turns, prompt, chosen, chosen_mask, rejected, rejected_mask."""
     rows = conversations.where("conv_id IS NOT NULL").select(
-        F.expr("floor(conv_id / 2)").cast("long").alias("pair_id"),
-        F.pmod(F.col("conv_id"), F.lit(2)).alias("side"),
+        F.shiftright(F.col("conv_id").cast("long"), 1).alias("pair_id"),
+        F.col("conv_id").cast("long").bitwiseAND(F.lit(1)).alias("side"),
         F.struct(
             F.col("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
