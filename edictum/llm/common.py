@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,29 +22,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
+    Where it is unset, a session on one machine (tests) gets a temporary folder; on a
+    cluster no folder of the driver's would do, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="edictum-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs only the reading tasks.
+    Cuts the lineage: a lost executor costs only the reading tasks.  Tables lie in one folder
+    for each application; inside ``scratch`` they are deleted at its end.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _made:
+        _made[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that are saved inside the block, when it ends.
+
+    What is to outlast the block has to be written elsewhere (``kept_after``).
+    """
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def kept_after(df: DataFrame, name: str) -> DataFrame:
+    """``saved``, but not deleted at the end of the scratch block around it."""
+    made = _made.pop() if _made else None
+    try:
+        return saved(df, name)
+    finally:
+        if made is not None:
+            _made.append(made)
+
+
 def slices(batches, rows: int = 256):
     """Arrow batches in slices, so that few rows are Python objects at a time."""
     for batch in batches:
