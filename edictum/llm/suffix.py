@@ -9,19 +9,23 @@ A byte goes if a 400-byte string that covers it also starts anywhere else.
    least hash is a segment; segments are dealt by that hash (about one per 185 bytes) and
    those whose hash occurs once, in one place of the segment, are done.
 3. Equal segments among the rest are counted with map-side partial counts: all windows of a
-   segment that occurs twice are repeated.  One of each different segment goes on.
+   segment that occurs twice are repeated, and one suffix array would only show the same of
+   each of a thousand copies.  One of each different segment goes on.
 4. Segments that share a least hash are concatenated, whole groups to a block of about half a
    megabyte, and the block's suffix array is built in two stages: suffixes smaller than
    their successors are sorted directly, the others are put in place by one scan over the
    buckets of first bytes.  Adjacent common prefixes of 400 bytes then show the repeated
    windows.  Order and prefixes are taken to 400 bytes, all that is asked for.
 
-Groups of more than ``most_in_group`` different segments would not fit a block: their
-windows are compared by 128-bit hashes in a distributed aggregate instead, exact as well.
+What the suffix arrays decide is thus the windows that different segments share; equal texts and
+equal segments are settled by their hashes before, since no task could hold their copies.
+A block holds ``BLOCK`` + ``most_in_group`` bytes at most.  A group of more bytes would not
+fit: its windows are compared by 128-bit hashes in a distributed aggregate, exact as well.
 
 Defined cases: a null text is empty; texts under 400 bytes lose nothing; rows are told
 apart by doc_id and text, so repeated doc_ids are documents of their own and repeated rows
-are copies; null doc_ids are kept; empty tables give no rows; further columns are ignored.
+are copies; null doc_ids are kept; very long texts are cut into segments whole; empty tables give
+no rows; columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,8 @@ LENGTH = 400
 GRAM = 32
 BASE = 0x9E3779B97F4A7C15
 MOST_WINDOWS = 1024  # of a segment; longer runs are cut
-BLOCK = 1 << 19
+BLOCK = 1 << 19  # bytes; a block ends with the group that reaches it
+MOST_IN_GROUP = 1 << 21  # bytes of the different segments with one least hash
 NO_ID = -(1 << 63)
 
 
@@ -55,12 +60,40 @@ def smaller_than_next(data: np.ndarray) -> np.ndarray:
     return np.repeat(rises, np.diff(np.r_[-1, ends]))[:n]
 
 
+def sorted_directly(raw: bytes, starts: np.ndarray, depth: int) -> np.ndarray:
+    """``starts`` in the order of the ``depth`` bytes from each on, eight bytes at a time: after
+    the first eight only starts that are still tied are sorted on.  Holds a few numbers
+    per start, no copies of text.  Where one text ends inside another it comes first.
+    """
+    padded = raw + bytes(8)
+    words = np.ndarray((len(raw) + 1,), ">u8", padded, strides=(1,))
+    order = starts[::-1].copy()  # of equal texts the later start is the shorter one
+    lead = words[order].astype(np.uint64)
+    at = np.argsort(lead, kind="stable")
+    order, lead = order[at], lead[at]
+    tied = np.r_[False, lead[1:] == lead[:-1]]  # equal to the one before
+    for offset in range(8, min(depth, len(raw)), 8):
+        group = np.flatnonzero(tied | np.r_[tied[1:], False])
+        if not len(group):
+            break
+        label = np.cumsum(~tied[group])  # groups of tied starts stand together
+        lead = words[np.minimum(order[group] + offset, len(raw))].astype(np.uint64)
+        joined = tied[group]
+        uneven = np.zeros(len(group) + 1, bool)
+        uneven[label[joined & np.r_[False, lead[1:] != lead[:-1]]]] = True
+        moved = np.flatnonzero(uneven[label])  # of groups that are not equal throughout
+        at = moved[np.lexsort((lead[moved], label[moved]))]
+        order[group[moved]], lead[moved] = order[group[at]], lead[at]
+        tied[group] = joined & np.r_[False, lead[1:] == lead[:-1]]
+    return order
+
+
 def suffix_array(raw: bytes, depth: int) -> np.ndarray:
     """Suffixes of ``raw`` in the order of their first ``depth`` bytes."""
     data = np.frombuffer(raw, np.uint8)
     n = len(data)
     small = smaller_than_next(data)
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: raw[i : i + depth]), np.int64)
+    direct = sorted_directly(raw, np.flatnonzero(small), depth)
     sizes = np.bincount(data, minlength=256)
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
     induced = sizes - np.bincount(data[direct], minlength=256)
@@ -281,12 +314,14 @@ def _affected(rows: DataFrame, later: DataFrame, length: int, gram: int, most_in
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = saved(segments(rows, length, gram), "segments")
     shared = every.groupBy("key").agg(F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 OR several").select("key")
-    live = saved(every.join(shared, "key").join(later, ["id", "text_key"], "left_anti"), "live-segments")
+    # Written before it is joined: only then can Spark split a key that very many segments have.
+    live = saved(every.join(saved(shared, "shared-keys"), "key").join(later, ["id", "text_key"], "left_anti"), "live-segments")
     contents = saved(live.groupBy("key", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_key", "at")).alias("first"), F.max("several").alias("several")), "contents")
-    twice = contents.where("n > 1").select("key", "c1", "c2")
+    twice = saved(contents.where("n > 1").select("key", "c1", "c2"), "equal-segments")
     whole = live.join(twice, ["key", "c1", "c2"]).select("id", "text_key", "at")
-    groups = contents.groupBy("key").agg(F.count("*").alias("n"), F.max("several").alias("several")).where("n > 1 OR several").select("key", (F.col("n") > most_in_group).alias("large"))
-    wanted = contents.join(groups, "key").select("first.*", "key", "large")
+    size = F.sum(F.col("first.at") % 2048 + (length - 1))
+    groups = contents.groupBy("key").agg(F.count("*").alias("n"), F.max("several").alias("several"), size.alias("bytes")).where("n > 1 OR several").select("key", (F.col("bytes") > most_in_group).alias("large"))
+    wanted = contents.join(saved(groups, "groups"), "key").select("first.*", "key", "large")
     wanted = wanted.groupBy("id", "text_key").agg(F.collect_list(F.struct("key", "at", "large")).alias("wanted"))
     concerned = live.select("id", "text_key").distinct().join(wanted, ["id", "text_key"], "left")
     # Merged at every size: with a broadcast below some size the plan would change with it.
@@ -339,7 +374,7 @@ def _plan(docs: DataFrame, length: int, gram: int, most_in_group: int) -> tuple[
     return rows, members.select("id", "text_key"), left
 
 
-def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_in_group: int = 20_000) -> DataFrame:
+def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     rows, copies, left = _plan(docs, length, gram, most_in_group)
     base = rows.select("doc_id", "id", "text_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("whole"))
@@ -354,7 +389,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most
     )
 
 
-def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_in_group: int = 20_000) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_in_group: int = MOST_IN_GROUP) -> DataFrame:
     """doc_id and ``kept``, the remaining bytes of every document."""
     rows, copies, left = _plan(docs, length, gram, most_in_group)
     judged = rows.join(left.select("id", "text_key", "left"), ["id", "text_key"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "text_key"], "left")

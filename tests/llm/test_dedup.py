@@ -64,12 +64,38 @@ def brute_bytes(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [20_000, 1])  # bytes: the second sends every group past the blocks
 def test_repeated_bytes(docs, most):
     found = suffix.removal_report(docs, most_in_group=most).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, found), key=str) == brute_bytes(corpus(), 400)
 
 
+def test_groups_beyond_one_block(spark, monkeypatch):
+    """Variants of one passage share least hashes: their group outgrows a block, and with the
+    lower limit the way of large groups is taken for it and not for the others."""
+    rng = random.Random(13)
+    passage = sentence(rng, 150)
+    rows = []
+    for i in range(150):
+        at = rng.randrange(len(passage) - 40)
+        rows.append((i, sentence(rng, 5) + " " + passage[:at] + f"<{i % 40}>" + passage[at:]))
+    rows.append((150, sentence(rng, 20_000)))
+    rows.append((151, rows[150][1][3000:9000] + " " + sentence(rng, 10)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(suffix, "BLOCK", 1 << 12)
+    want = brute_bytes(rows, 400)
+    for most in (suffix.MOST_IN_GROUP, 20_000):
+        found = suffix.removal_report(frame, most_in_group=most).collect()
+        assert sorted(map(tuple, found), key=str) == want
+
+
+def test_order_with_zero_bytes():
+    rng = random.Random(5)
+    for _ in range(40):
+        raw = bytes(rng.choice(b"\0\0a") for _ in range(rng.randint(1, 120)))
+        assert suffix.suffix_array(raw, 10**6).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+
+
 def brute_words(rows, window):
     first = {}
     for i, t in rows:
