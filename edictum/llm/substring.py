@@ -7,9 +7,9 @@ another, some anchor of 50 - v + 1 words lies at cover positions in both.  Hence
 1. Texts equal as a whole are reduced to the one of least doc_id; in the others every
    window also starts in that one.
 2. Anchors of the remaining documents are hashed at cover positions only (6 in 31) and
-   dealt by hash; those found in two documents or more are marked.  Equal anchors in
-   several documents of one batch are known there and then: one row goes on for all, so
-   a passage in a third of all documents costs one row a batch.
+   dealt by hash, without their places; those found in two documents or more are marked.
+   Equal anchors in several documents of one batch are known there and then: one row goes on
+   for all, so a passage in a third of all documents costs one row a batch.
 3. Matches are extended from the marks: every 50-word window that covers a marked anchor
    is hashed (128 bits) and dealt with its doc_id; the least doc_id of each window decides.
    Before dealing, a batch keeps one row per window, that of its least doc_id.
@@ -18,9 +18,10 @@ another, some anchor of 50 - v + 1 words lies at cover positions in both.  Hence
 Windows are compared by 128-bit hashes of their words, two 64-bit sums over independent
 word hashes.  Anchors decide only where to look.
 
-Defined cases: a null text has no words; texts under 50 words keep all; repeated doc_ids
-count as one document, each row judged by itself; rows with a null doc_id neither remove
-nor are removed; empty tables give no rows; further columns are not looked at.
+Defined cases: a null text has no words; texts under 50 words keep all; very long texts are taken
+whole; repeated doc_ids count as one document, each of their texts judged by itself; rows with
+a null doc_id neither remove nor are removed; empty tables give no rows; columns other than
+doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edictum.llm.common import WORD, saved, slices
@@ -73,17 +74,6 @@ def anchor_starts(n: int, size: int, period: int, cover: tuple[int, ...]) -> np.
     return every[np.isin(every % period, cover)]
 
 
-def text_tag(text: str | None) -> int:
-    """20 bits that tell rows of one doc_id apart by their texts."""
-    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) & 0xFFFFF
-
-
-def own_places(places: list[int], text: str | None) -> np.ndarray:
-    """Of places tagged with a text (tag << 40 | place), those of this text, once each."""
-    at = np.unique(np.array(places, np.int64))
-    return at[at >> 40 == text_tag(text)] & ((1 << 40) - 1)
-
-
 def _chunks(batches, convert, size):
     """Lists of converted rows with about ``size`` words each."""
     held, weight = [], 0
@@ -100,108 +90,104 @@ def _chunks(batches, convert, size):
         yield held
 
 
-def anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """pk, doc_id, at: anchors to compare (at >= 0) and anchors known to repeat.
-
-    ``at`` is 4 x tagged place + 1 for a row that stands for several documents of a batch
-    and + 2 for a known one.
-    """
+def document_anchors(words: list[bytes], window: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a text's anchors."""
     size = window - period + 1
+    at = anchor_starts(len(words), size, period, cover)
+    return window_sums(word_hashes(words)[0], BASES[0], at, size).view(np.int64), at
+
+
+def anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
+    """pk, doc_id, several, known: a row for each anchor of a document to compare, ``several`` where
+    it stands for more documents of the batch; of the latter all are ``known`` (and dealt anyhow)."""
 
     def convert(row):
         words = words_of(row[1])
         if len(words) < window:
             return None, 0
-        at = anchor_starts(len(words), size, period, cover)
-        return (row[0], window_sums(word_hashes(words)[0], BASES[0], at, size), at | text_tag(row[1]) << 40), len(words)
+        return (row[0], np.unique(document_anchors(words, window, period, cover)[0])), len(words)
 
     def run(batches):
         for chunk in _chunks(batches, convert, CHUNK):
             key = np.concatenate([c[1] for c in chunk])
             doc = np.repeat(np.array([c[0] for c in chunk], np.int64), [len(c[1]) for c in chunk])
-            at = np.concatenate([c[2] for c in chunk]) * 4
             order = np.lexsort((doc, key))
-            key, doc, at = key[order], doc[order], at[order]
+            key, doc = key[order], doc[order]
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(key)]))
             several = (doc[np.r_[first[1:], len(key)] - 1] != doc[first])[group]
             rep = np.zeros(len(key), bool)
             rep[first] = True
-            # A hash in one document only: all its rows go, once a document would do but
-            # its other places must be marked as well.
-            alone = ~several
-            spread = (doc.view(np.uint64) * np.uint64(BASES[1]) ^ at.view(np.uint64) * np.uint64(BASES[0])).view(np.int64)
-            pk = np.concatenate([key.view(np.int64)[alone], key.view(np.int64)[several & rep], spread[several]])
-            out = [pk, np.concatenate([doc[alone], doc[several & rep], doc[several]]), np.concatenate([at[alone], at[several & rep] + 1, at[several] + 2])]
+            sent = np.flatnonzero(rep | ~several)
+            known = np.flatnonzero(several)
+            spread = (doc[known].view(np.uint64) * np.uint64(BASES[1]) ^ key[known].view(np.uint64) * np.uint64(BASES[0])).view(np.int64)
+            pk, docs_out = np.concatenate([key[sent], spread]), np.concatenate([doc[sent], doc[known]])
+            flag = np.concatenate([several[sent], np.zeros(len(known), bool)])
+            mark, missing = np.concatenate([key[sent], key[known]]), np.arange(len(pk)) < len(sent)
             for i in range(0, len(pk), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in out], names=["pk", "doc_id", "at"])
+                part = slice(i, i + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(pk[part]), pa.array(docs_out[part]), pa.array(flag[part]), pa.array(mark[part], mask=missing[part])], names=["pk", "doc_id", "several", "known"])
 
-    return docs.mapInArrow(run, "pk long, doc_id long, at long")
+    return docs.mapInArrow(run, "pk long, doc_id long, several boolean, known long")
 
 
 def marks(rows: DataFrame) -> DataFrame:
-    """doc_id, at: the places of the anchors that two documents or more hold.
+    """doc_id, mark: the anchors that two documents or more hold.
 
-    Reads rows sorted by hash as a stream; holds one group's rows of its first document.
+    Reads rows sorted by hash and document as a stream; of a group that goes on in the next
+    batch it holds the first document.
     """
 
     def run(batches):
-        last, doc, held, shared = None, None, [], False
+        last, doc, shared = None, None, False
         for batch in batches:
-            pks, docs, ats = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            keep = ats % 4 == 2
-            fresh = np.flatnonzero(~keep)
-            pks, d, a = pks[fresh], docs[fresh], ats[fresh]
-            out_d, out_a = [docs[keep]], [ats[keep] // 4]
-            if len(pks):
-                if last is not None and pks[0] == last:
-                    cut = int(np.argmax(pks != last)) if (pks != last).any() else len(pks)
-                    more = (d[:cut] != doc).any() or (a[:cut] % 4 == 1).any()
-                    if shared or more:
-                        if not shared:
-                            out_d += [np.full(len(h), doc) for h in held]
-                            out_a += held
-                            held = []
-                        shared = True
-                        out_d.append(d[:cut])
-                        out_a.append(a[:cut] // 4)
-                    else:
-                        held.append(a[:cut] // 4)
-                    pks, d, a = pks[cut:], d[cut:], a[cut:]
+            pks, docs, several = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
+            known = batch.column(3)
+            fresh = np.flatnonzero(known.is_null().to_numpy(zero_copy_only=False))
+            out_d, out_m = [docs[known.is_valid().to_numpy(zero_copy_only=False)]], [known.drop_null().to_numpy(zero_copy_only=False)]
+            pks, docs, several = pks[fresh], docs[fresh], several[fresh]
             if len(pks):
                 first = np.flatnonzero(np.r_[True, pks[1:] != pks[:-1]])
-                ends = np.r_[first[1:], len(pks)]
-                group = np.repeat(np.arange(len(first)), ends - first)
-                multi = np.maximum.reduceat((a % 4 == 1).astype(np.int8), first) > 0
-                several = ((np.maximum.reduceat(d, first) != np.minimum.reduceat(d, first)) | multi)[group]
-                out_d.append(d[several])
-                out_a.append(a[several] // 4)
-                last, doc, shared = pks[-1], d[-1], bool(several[-1])
-                held = [] if shared else [a[first[-1] :] // 4]
-            out_d, out_a = np.concatenate(out_d), np.concatenate(out_a)
-            yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_a, pa.int64())], names=["doc_id", "at"])
+                group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(pks)]))
+                hit = np.maximum.reduceat(several, first) | (np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first))
+                if pks[0] == last:
+                    hit[0] |= shared or bool((docs[: first[1] if len(first) > 1 else len(docs)] != doc).any())
+                    if hit[0] and not shared:  # the rows so far were of one document
+                        out_d.append(np.array([doc]))
+                        out_m.append(np.array([last]))
+                out_d.append(docs[hit[group]])
+                out_m.append(pks[hit[group]])
+                if pks[-1] != last or len(first) > 1:
+                    doc = docs[first[-1]]
+                last, shared = pks[-1], bool(hit[-1])
+            out_d, out_m = np.concatenate(out_d), np.concatenate(out_m)
+            yield pa.RecordBatch.from_arrays([pa.array(out_d, pa.int64()), pa.array(out_m, pa.int64())], names=["doc_id", "mark"])
 
     # Batches cut groups anywhere, hence the state above.
-    return rows.mapInArrow(run, "doc_id long, at long")
+    return rows.mapInArrow(run, "doc_id long, mark long")
 
 
-def candidate_windows(found: DataFrame, window: int, period: int) -> DataFrame:
+def candidate_windows(found: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     """h1, h2, doc_id, at: the windows over marked anchors; local duplicates reduced.
 
-    ``at`` is 2 x start, + 1 where a smaller doc_id of the same batch has the window.
+    ``at`` is 2 x the numbered start (version << 40 | start), + 1 where a smaller doc_id of the
+    same batch has the window.
     """
     span = period - 1
 
     def convert(row):
         words = words_of(row[1])
         n = len(words) - window + 1
+        if n < 1:
+            return None, 0  # another text of the doc_id has the marks
+        keys, places = document_anchors(words, window, period, cover)
+        at = places[np.isin(keys, np.array(row[3], np.int64))]
         flags = np.zeros(n + 1, np.int64)
-        at = own_places(row[2], row[1])
         np.add.at(flags, np.clip(at - span, 0, n), 1)
         np.add.at(flags, np.clip(at + 1, 0, n), -1)
         starts = np.flatnonzero(np.cumsum(flags[:-1]) > 0)
         hashes = word_hashes(words)
-        return (row[0], *(window_sums(hashes[i], BASES[i], starts, window) for i in (0, 1)), starts | text_tag(row[1]) << 40), len(words)
+        return (row[0], *(window_sums(hashes[i], BASES[i], starts, window) for i in (0, 1)), starts | row[2] << 40), len(words)
 
     def run(batches):
         for chunk in _chunks(batches, convert, CHUNK):
@@ -231,30 +217,34 @@ def _copies(rows: DataFrame) -> DataFrame:
 
 
 def affected(docs: DataFrame, copies: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
-    """doc_id, text_key, text, starts: documents other than copies that lose windows, and
-    where the windows start that a smaller doc_id holds."""
+    """doc_id, text_key, text, version, starts: documents that lose windows, and where the windows
+    start that a smaller doc_id holds (of all texts of the doc_id, by version)."""
     differences = {(a - b) % period for a in cover for b in cover}
     assert len(differences) == period and window >= period, "no difference cover"
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     single = texts.withColumn("text_key", F.xxhash64("text")).join(copies, ["doc_id", "text_key"], "left_anti").select("doc_id", "text")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = anchors(single, window, period, cover).repartition(n, "pk").sortWithinPartitions("pk", "doc_id")
-    places = marks(dealt).groupBy("doc_id").agg(F.collect_list("at").alias("marks"))
-    # Places tell texts apart themselves, so copies need not be taken out of the texts again.
-    found = saved(texts.join(places, "doc_id").select("doc_id", "text", "marks"), "candidates")
-    windows = saved(candidate_windows(found, window, period), "windows")
+    found_in = marks(dealt).groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    # Copies need not be taken out of the texts again: their windows only confirm the others'.
+    # The texts of one doc_id are numbered; the join has brought them together.
+    version = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("text_key")).cast("long")
+    keyed = texts.withColumn("text_key", F.xxhash64("text")).join(found_in.hint("merge"), "doc_id")
+    found = saved(keyed.withColumn("version", version).select("doc_id", "text", "version", "marks", "text_key"), "candidates")
+    windows = saved(candidate_windows(found.drop("text_key"), window, period, cover), "windows")
     least = windows.where("at % 2 = 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     known = windows.where("at % 2 = 1").select("doc_id", F.expr("at div 2").alias("at"))
     beyond = windows.where("at % 2 = 0").join(least, ["h1", "h2"]).where("doc_id > first").select("doc_id", F.expr("at div 2").alias("at"))
     starts = known.union(beyond).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
-    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "text").distinct().join(starts, "doc_id")
+    return found.select("doc_id", "text_key", "text", "version").dropDuplicates(["doc_id", "version"]).join(starts, "doc_id")
 
 
-def kept_words(text: str | None, starts: list[int], window: int) -> tuple[list[bytes], int]:
+def kept_words(text: str | None, version: int, starts: list[int], window: int) -> tuple[list[bytes], int]:
     """The words that stay and the number of those that go."""
     words = words_of(text)
     edges = np.zeros(len(words) + 1, np.int64)
-    at = own_places(starts, text)
+    at = np.unique(np.array(starts, np.int64))
+    at = at[at >> 40 == version] & ((1 << 40) - 1)
     edges[at] += 1
     edges[at + window] -= 1
     gone = np.cumsum(edges[:-1]) > 0
@@ -267,8 +257,8 @@ def _shortened(found: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             removed, kept, digest = [], [], []
-            for text, starts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                left, gone = kept_words(text, starts, window)
+            for text, version, starts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                left, gone = kept_words(text, version, starts, window)
                 line = b" ".join(left)
                 removed.append(gone)
                 kept.append(line.decode("utf-8", "surrogatepass"))
@@ -278,7 +268,7 @@ def _shortened(found: DataFrame, window: int) -> DataFrame:
                 names=["doc_id", "text_key", "left_text", "left_removed", "left_sha256"],
             )
 
-    return found.select("doc_id", "text_key", "text", "starts").mapInArrow(run, "doc_id long, text_key long, left_text string, left_removed long, left_sha256 string")
+    return found.select("doc_id", "text_key", "text", "version", "starts").mapInArrow(run, "doc_id long, text_key long, left_text string, left_removed long, left_sha256 string")
 
 
 def _whole(rows: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -125,6 +126,14 @@ def test_repeated_passages(docs, spark):
     assert sorted(map(tuple, found), key=str) == brute_words(corpus(), 50)
 
 
+def test_texts_of_one_doc_id_lose_their_own_words(spark):
+    rng = random.Random(17)
+    a, b = sentence(rng, 90), sentence(rng, 70)
+    rows = [(1, a + " " + b), (2, sentence(rng, 30) + " " + a), (2, b + " " + sentence(rng, 200)), (2, sentence(rng, 3)), (3, a + " " + b), (2, "x " * 60), (4, "x " * 30_000)]
+    found = substring.removal_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, found), key=str) == brute_words(rows, 50)
+
+
 def test_every_shift_meets_the_cover():
     cover, v = set(substring.COVER), substring.PERIOD
     assert all(any((i + d) % v in cover and (j + d) % v in cover for d in range(v)) for i in range(v) for j in range(v))
@@ -227,6 +236,50 @@ def test_repeated_lines(spark):
     assert any(w[2] for w in want)
 
 
+def test_lines_by_words_and_whole_documents(spark):
+    """Single long lines, blocks of short ones, short documents as a whole, blanks in between."""
+    rng = random.Random(14)
+    pool = [sentence(rng, rng.choice((1, 2, 3, 8, 25))) for _ in range(12)] + ["", "  "]
+    rows = [(i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(150)] + [(7, "other\ntext"), (None, pool[3])]
+    frame = spark.createDataFrame([(*r, 9, "x") for r in rows], "doc_id long, text string, place int, print string").repartition(5)
+    text_key = {r.text: r.k for r in frame.selectExpr("text", "xxhash64(text) AS k").collect()}
+    places, windows = {}, {}
+    for r in rows:
+        lines_ = [(n, x) for n, x in enumerate(r[1].split("\n")) if WORD.search(x)]
+        mine = windows[r] = []
+        for i in range(len(lines_)):
+            for j in range(i, len(lines_)):
+                if j - i == 3 or sum(len(WORD.findall(x)) for _, x in lines_[i : j + 1]) >= 20:
+                    mine.append(lines_[i : j + 1])
+                    break
+        if not mine and lines_:
+            mine.append(lines_)
+        for w in mine:
+            key, place = tuple(x for _, x in w), (r[0] is not None, r[0] or 0, text_key[r[1]], w[0][0])
+            places[key] = min(places.get(key, place), place)
+    want = []
+    for r in rows:
+        gone = set()
+        for w in windows[r]:
+            if places[tuple(x for _, x in w)] < (r[0] is not None, r[0] or 0, text_key[r[1]], w[0][0]):
+                gone |= {n for n, _ in w}
+        total = sum(bool(WORD.search(x)) for x in r[1].split("\n"))
+        want.append((r[0], total, len(gone), "\n".join(x for n, x in enumerate(r[1].split("\n")) if n not in gone)))
+    assert sorted(map(tuple, lines.dedup_lines(frame).collect()), key=str) == sorted(want, key=str)
+
+
+def test_long_documents_take_time_in_proportion(spark):
+    def seconds(n):
+        text = "\n".join(f"line {i % (n // 2)} of many" for i in range(n))
+        frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.monotonic()
+        assert lines.dedup_lines(frame).first().n_removed == n - n // 2
+        return time.monotonic() - start
+
+    seconds(1000)
+    assert seconds(60_000) < 8 * seconds(15_000)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     for op in (suffix.removal_report, substring.removal_report, simhash.near_duplicates, lines.dedup_lines):
