@@ -13,9 +13,17 @@ from edictum.sources.terms import BOOLEAN, DECIMAL, NUMERIC
 def json_text(value: Column) -> Column:
     """A string as JSON, ASCII only."""
     quoted = F.regexp_replace(F.to_json(F.struct(value.alias("v"))), r"^\{\"v\":|\}$", "")
-    escaped = F.array_join(
-        F.transform(F.split(quoted, ""), lambda c: F.when(F.ascii(c) > 127, F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)), ""
-    )
+
+    def unit(number: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(number)), 4, "0"))
+
+    def shown(c: Column) -> Column:
+        point = F.ascii(c)
+        rest = point - 0x10000  # beyond the basic plane: a pair of surrogates
+        pair = F.concat(unit(F.shiftright(rest, 10) + 0xD800), unit(rest.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+        return F.when(point > 0xFFFF, pair).when(point > 127, unit(point)).otherwise(c)
+
+    escaped = F.array_join(F.transform(F.split(quoted, ""), shown), "")
     return F.when(quoted.rlike(r"[^\x00-\x7F]"), escaped).otherwise(quoted)
 
 

@@ -52,7 +52,7 @@ def line_of(s: str, p: str, o: Term) -> str:
 
 def guard(predicate: str, num: float | None, role: str, policy: dict, domain: Domain) -> tuple[bool, str]:
     """The policy node's bounds on a proposed value."""
-    if predicate != domain.guarded or num is None:
+    if predicate != domain.guarded or num is None or role not in domain.capped_roles:
         return True, "policy_guard_not_applicable"
     low = policy.get(domain.minimum)
     if low is not None and num < low:
@@ -97,6 +97,7 @@ def fold(actions: list[dict], graph: dict, policy: dict, constraints: list, doma
             if found:
                 slots[predicate] = before
                 d["reason"], d["validation_report"] = "inadmissible", "\n".join(sorted(found))
+                d |= {"s": zone, "p": predicate, "o": tuple(term)}  # what it would have written
                 continue
         winners.setdefault(a["target_key"], (a["aid"], a["rid"]))
         old, new = {line_of(zone, predicate, t) for t in before}, line_of(zone, predicate, term)

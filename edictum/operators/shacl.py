@@ -7,14 +7,17 @@ inside a SPARQL constraint drops such rows instead.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from decimal import Decimal
 from functools import reduce
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edictum.operators import sparql
+from edictum.sources.readers import triples_frame
 from edictum.sources.terms import RDF_TYPE, Term, number
 from edictum.sources.turtle import RDF, parse_turtle
 
@@ -60,7 +63,7 @@ def _triples(group: list) -> list:
             out += _triples(e[1].where)
         elif e[0] == "union":
             out += [t for g in e[1] for t in _triples(g)]
-        elif e[0] in ("join", "optional", "minus", "exists"):
+        elif e[0] in ("join", "optional", "minus", "exists", "absent"):
             out += _triples(e[1])
     return out
 
@@ -162,6 +165,26 @@ def report(triples: DataFrame, constraints: list[Constraint]) -> tuple[bool, lis
     return not found, found
 
 
+def conforms(spark: SparkSession, triples: DataFrame, constraints: list[Constraint], regime: str = "shacl", focus: set | None = None) -> tuple[bool, list[str]]:
+    """``report`` by the compiled shapes (``shacl``), or by the checks that the fold makes
+    (``incremental``), of ``focus`` nodes where given.  The latter gathers the state."""
+    if regime == "shacl":
+        return report(triples, constraints)
+    if regime != "incremental":
+        raise ValueError(f"unknown validation regime: {regime!r}")
+    graph: dict = {}
+    for s, p, kind, lex, dt in triples.select("s", "p", "o.kind", "o.lex", "o.dt").collect():
+        graph.setdefault(s, {}).setdefault(p, []).append(Term(kind, lex, dt))
+    found = sorted(faults(graph, constraints, focus))
+    return not found, found
+
+
+def validate_files(spark: SparkSession, data: str, shapes: str, regime: str = "shacl") -> tuple[bool, list[str]]:
+    """Whether a Turtle file conforms to a file of shapes, and its violations."""
+    triples = triples_frame(spark, parse_turtle(Path(data).read_text()))
+    return conforms(spark, triples, parse_shapes(Path(shapes).read_text()), regime)
+
+
 # --- on one component's graph ---------------------------------------------------------
 
 
@@ -192,6 +215,12 @@ def faults(graph: dict, constraints: list[Constraint], focus: set | None = None)
                 bad.append("in")
             if c.datatype is not None and any(v.dt != c.datatype for v in values):
                 bad.append("datatype")
+            if c.pattern is not None and any(not re.search(c.pattern, v.lex) for v in values):
+                bad.append("pattern")
+            if c.min_length is not None and any(len(v.lex) < c.min_length for v in values):
+                bad.append("minLength")
+            if c.max_length is not None and any(len(v.lex) > c.max_length for v in values):
+                bad.append("maxLength")
             if c.has_value is not None and all(v[:3] != c.has_value[:3] for v in values):
                 bad.append("hasValue")
             out += [f"{c.shape} {node} {c.path.split('#')[-1]}: {b}" for b in bad]

@@ -123,7 +123,7 @@ class _Parser:
             elif self.word("FILTER"):
                 if self.word("NOT"):
                     self.word("EXISTS")
-                    out.append(("minus", self.group(graph)))
+                    out.append(("absent", self.group(graph)))
                 elif self.word("EXISTS"):
                     out.append(("exists", self.group(graph)))
                 else:
@@ -286,7 +286,11 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
     if not common:
         if how == "inner":
             return left.crossJoin(right)
-        return left if how == "left_anti" else left.crossJoin(right)
+        if how == "minus":  # nothing in common, nothing to take away
+            return left
+        # (NOT) EXISTS only asks whether there is a row.
+        return left.join(right if how == "left" else right.limit(1).select(F.lit(1)), F.lit(True), how)
+    how = "left_anti" if how == "minus" else how
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in common})
     match = F.lit(True)
     for c in common:
@@ -341,8 +345,8 @@ def _group_frame(quads: DataFrame, group: list, uses: Counter) -> DataFrame | No
         kind = element[0]
         if kind == "optional":
             out = _join(out, _group_frame(quads, element[1], uses), "left")
-        elif kind in ("minus", "exists"):
-            out = _join(out, _group_frame(quads, element[1], uses), "left_anti" if kind == "minus" else "left_semi")
+        elif kind in ("minus", "absent", "exists"):
+            out = _join(out, _group_frame(quads, element[1], uses), {"minus": "minus", "absent": "left_anti", "exists": "left_semi"}[kind])
         elif kind == "bind":
             out = out.withColumn(element[1], _value(element[2]))
         elif kind == "filter":
@@ -442,8 +446,11 @@ def _group_rows(group: list, graph: dict, rows: list[dict]) -> list[dict]:
             rows = [x for part in element[1] for x in _group_rows(part, graph, rows)]
         elif kind == "optional":
             rows = [x for r in rows for x in (_group_rows(element[1], graph, [r]) or [r])]
-        elif kind in ("minus", "exists"):
+        elif kind in ("absent", "exists"):
             rows = [r for r in rows if bool(_group_rows(element[1], graph, [r])) == (kind == "exists")]
+        elif kind == "minus":
+            taken = _group_rows(element[1], graph, [{}])
+            rows = [r for r in rows if not any(set(r) & set(t) and all(r[k][:3] == t[k][:3] for k in set(r) & set(t)) for t in taken)]
         elif kind == "bind":
             rows = [{**r, element[1]: r.get(element[2].name) if isinstance(element[2], Var) else element[2]} for r in rows]
     for element in group:
@@ -457,7 +464,7 @@ def solve(query: Select, graph: dict, given: dict | None = None) -> list[dict]:
     rows = _group_rows(query.where, graph, [dict(given or {})])
     calls = [(n, c) for n, c in query.columns if c]
     if not calls:
-        return [{n: r[n] for n, _ in query.columns if n in r} for r in rows]
+        return _cut([{n: r[n] for n, _ in query.columns if r.get(n) is not None} for r in rows], query)
     groups: dict = {}
     for r in rows:
         groups.setdefault(tuple(r.get(v) for v in query.group_by), []).append(r)
@@ -467,8 +474,30 @@ def solve(query: Select, graph: dict, given: dict | None = None) -> list[dict]:
     for key, members in groups.items():
         row = dict(zip(query.group_by, key, strict=True))
         for name, (function, argument) in calls:
-            values = [v for v in (as_number(m.get(argument)) for m in members) if v is not None]
-            value = {"SUM": sum, "COUNT": lambda v: len(members), "MIN": min, "MAX": max, "AVG": lambda v: sum(v) / len(v)}[function](values)
-            row[name] = Term("lit", str(value), DECIMAL, True)
-        out.append(row)
-    return out
+            bound = [m[argument] for m in members if m.get(argument) is not None]
+            found = _aggregate(function, bound, len(members) if argument is None else len(bound))
+            if found is not None:
+                row[name] = found
+        out.append({n: row[n] for n, _ in query.columns if n in row})
+    return _cut(out, query)
+
+
+def _aggregate(function: str, bound: list[Term], count: int) -> Term | None:
+    """None where there is no value, as with MIN of nothing."""
+    if function == "COUNT":
+        return Term("lit", str(count), INTEGER, True)
+    if function == "SAMPLE":
+        return Term("lit", min(t.lex for t in bound)) if bound else None
+    if function == "GROUP_CONCAT":
+        return Term("lit", " ".join(sorted(t.lex for t in bound)))
+    values = [v for v in map(as_number, bound) if v is not None]
+    if not values and function != "SUM":
+        return None
+    made = {"SUM": lambda: sum(values, Decimal(0)), "MIN": lambda: min(values), "MAX": lambda: max(values), "AVG": lambda: sum(values) / len(values)}[function]()
+    return Term("lit", str(made), DECIMAL, True)
+
+
+def _cut(rows: list[dict], query: Select) -> list[dict]:
+    if query.distinct:
+        rows = list({tuple(sorted((k, v[:3]) for k, v in r.items())): r for r in rows}.values())
+    return rows if query.limit is None else rows[: query.limit]

@@ -19,6 +19,7 @@ class Domain:
     minimum: str = ""
     maximum: str = ""  # appended to a role's name
     minimum_reason: str = ""
+    capped_roles: tuple[str, ...] = ()  # roles whose values the policy node bounds at all
     gate_order: tuple[str, ...] = ("role", "policy", "conflict", "admissibility")
 
 
@@ -37,6 +38,7 @@ HVAC = Domain(
     minimum=BUILDING + "minSetpoint",
     maximum="MaxSetpoint",
     minimum_reason="policy_min_setpoint_violation",
+    capped_roles=("occupant", "operator", "emergency"),
 )
 
 EV = Domain(
@@ -50,5 +52,6 @@ EV = Domain(
     minimum=CHARGING + "minPower",
     maximum="MaxPower",
     minimum_reason="policy_min_power_violation",
+    capped_roles=("driver", "fleet", "grid"),
     gate_order=("conflict", "policy", "admissibility"),
 )

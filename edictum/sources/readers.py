@@ -94,15 +94,19 @@ def merged(base: dict, change: dict | None) -> dict:
 
 
 def governance(settings: dict, contexts: dict | None) -> dict:
-    """The context a run is governed by; role ranks in the settings win over its own."""
+    """The context a run is governed by; role ranks in the settings win over its own.
+
+    A context that names no active roles has all ranked ones.
+    """
     wanted = settings.get("governance", {})
     name = wanted.get("context_name", "default")
     found = (contexts or {}).get(name, {})
+    ranks = {**found.get("role_rank", {}), **settings.get("role_precedence", {})}
     return {
         "name": name,
-        "principal": found.get("principal"),
-        "active_roles": list(found.get("active_roles", [])),
-        "role_rank": {**found.get("role_rank", {}), **settings.get("role_precedence", {})},
+        "principal": found.get("principal", "automation-engine"),
+        "active_roles": list(found.get("active_roles") or ranks),
+        "role_rank": ranks,
         "enforce_active_roles": bool(wanted.get("enforce_active_roles", False)),
     }
 
