@@ -56,17 +56,30 @@ def late(events: DataFrame, anchors: list[str], length_minutes: int, arrival: st
 
 def stream_steps(
     events: DataFrame, state: DataFrame, rules: list[dict], constraints: list, settings: dict, contexts: dict | None,
-    store: StepStore, checkpoint: str, domain: Domain = HVAC, on_step: Callable[[int, Step], None] | None = None,
+    store: StepStore, checkpoint: str, domain: Domain = HVAC, on_step: Callable[[int, Step], None] | None = None, mode: str = "redelivery",
 ) -> StreamingQuery:
-    """A streaming log resolved micro-batch by micro-batch; start with ``availableNow``."""
+    """A streaming log resolved micro-batch by micro-batch; start with ``availableNow``.
+
+    A batch's window ends at its latest event.  Events of the batch that are older than the window
+    are kept as ``late-<batch>`` in the store, before the step is committed; with ``consume_once``
+    the ids that a step's accepted actions used are kept as ``used-<batch>``.  Both are written
+    under the batch's name, so a repeated batch writes them again and changes nothing.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         name = f"batch-{number:09d}"
         if store.has(name) or batch.isEmpty():
             return
         spark = batch.sparkSession
+        log = batch
+        if mode == "consume_once":
+            ledger = store.kept(spark, "used-*", "eid string")
+            log = log.join(ledger, "eid", "left_anti")
         now = store.current_state(spark)
-        done = run_step(spark, state if now is None else now, batch, rules, constraints, settings, contexts, None, domain)
+        done = run_step(spark, state if now is None else now, log, rules, constraints, settings, contexts, None, domain)
+        store.keep(batch.join(done.events.select("eid"), "eid", "left_anti").join(log.select("eid"), "eid", "left_semi"), f"late-{name}")
+        if mode == "consume_once":
+            store.keep(done.decisions.where("accepted").select(F.col("event_id").alias("eid")).distinct(), f"used-{name}")
         store.commit_state(done.successor, done.decisions, name)
         if on_step:
             on_step(number, done)
