@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than space and the controls 9 to 13.
@@ -96,5 +96,25 @@ def bucket_bits(rows: int, per_bucket: int = 200_000, least: int = 8) -> int:
     return max(least, (max(1, rows) // per_bucket).bit_length())
 
 
+def running(rows: DataFrame, order: list[Column], sums: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` in one global order: ``_before``, the rows before each, and ``_<name>_before``
+    for the columns to sum.
+
+    Range partitions are counted apart and joined with what the partitions before them hold, so
+    no task sees all rows.  The partitions are written: their bounds must not be drawn twice.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = saved(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    totals = dealt.groupBy(F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), *[F.sum(s).alias(f"_n_{s}") for s in sums])
+    offsets = totals.select("_p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_o{c}") for c in ["_n", *[f"_n_{s}" for s in sums]]])
+    found = dealt.withColumns({"_before": F.count("*").over(inside), **{f"_{s}_before": F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums}})
+    found = found.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    found = found.withColumns({"_before": F.col("_before") + F.col("_o_n"), **{f"_{s}_before": F.col(f"_{s}_before") + F.col(f"_o_n_{s}") for s in sums}})
+    return found.drop("_part", "_p", *[f"_o{c}" for c in ["_n", *[f"_n_{s}" for s in sums]]])
+
+
 def words_column(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))

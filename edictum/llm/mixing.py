@@ -10,13 +10,16 @@
    are drawn without replacement into two halves, so that the sources' counts in a half
    follow the multivariate hypergeometric law; leaves are shards.  The tree works on block
    numbers alone: shards x blocks_per_shard of them, however large the data are.
-4. A document goes where its block goes; rows are shuffled inside a shard by a seeded key.
+4. A document goes where its block goes; rows are shuffled inside a shard by a seeded key
+   (``mixed_documents`` writes them in that order).
 
 Sums along a source's order come from sums per (source, bucket of the order) and from a
 running sum inside a bucket, so a source with any share of the rows is spread evenly.
 
 Defined cases: a null text has size 0; null sources are one source, the last; documents
-of size 0 are taken 0 words; an empty table gives no rows; repeated rows count each.
+of size 0 are taken 0 words; very long texts are taken or left whole; a null doc_id is a value like
+others; ties of the seeded order are rows of one doc_id, source and text; an empty table gives no
+rows; repeated rows count each; columns other than doc_id, source and text are only carried.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edictum.llm.common import WORD, bucket_bits, saved, top_bits
+from edictum.llm.common import WORD, bucket_bits, running, saved, top_bits
 
 WEIGHTS = (3, 1, 2)
 
@@ -44,27 +47,23 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """source, sid, source_size, target: one row per source, weights dealt by code point."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    named = running(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), [F.col("source").asc_nulls_last()])
     found = (
-        sizes.groupBy("source")
-        .agg(F.sum("size").alias("source_size"))
-        .withColumn("sid", F.row_number().over(by_name))
-        .withColumn("_w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("sid") - 1) % len(weights) + 1))
+        named.withColumn("sid", (F.col("_before") + 1).cast("int"))
+        .drop("_before")
+        .withColumn("_w", F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (F.col("sid") - 1) % len(weights) + 1))
+        .withColumn("_cap", F.col("source_size") * cap)
     )
     # In order of cap/weight: once the sources before are at their caps, the level left.
-    by_level = Window.orderBy(F.col("source_size") * cap / F.col("_w"), "sid")
-    everything = Window.partitionBy()
-    found = (
-        found.withColumn("_cap", (F.col("source_size") * cap).cast("double"))
-        .withColumn("_capped", F.coalesce(F.sum("_cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-        .withColumn("_left", F.sum("_w").over(by_level.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_total", F.sum("source_size").over(everything) * share)
-        .withColumn("_level", (F.col("_total") - F.col("_capped")) / F.col("_left"))
-    )
-    fits = F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.struct(F.col("_cap") / F.col("_w"), "sid", "_level"))
-    return found.withColumn("_chosen", F.min(fits).over(everything)["_level"]).select(
-        "source", "sid", "source_size", F.least("_cap", F.coalesce("_chosen", F.lit(float("inf"))) * F.col("_w")).alias("target")
-    )
+    ratio = (F.col("_cap") / F.col("_w")).alias("_ratio")
+    ordered = running(found, [F.col("_cap") / F.col("_w"), F.col("sid")], ("_cap", "_w"))
+    whole = found.agg(F.sum("source_size").alias("_all"), F.sum("_w").alias("_weights"))
+    # The one row of sums is joined to every source by a key, as any small table.
+    level = (F.col("_all") * share - F.col("__cap_before")) / (F.col("_weights") - F.col("__w_before"))
+    tried = ordered.withColumn("_one", F.lit(1)).join(F.broadcast(whole.withColumn("_one", F.lit(1))), "_one").withColumn("_level", level).select("sid", ratio, "_level")
+    chosen = tried.where("_level <= _ratio").agg(F.min(F.struct("_ratio", "sid", "_level"))["_level"].alias("_chosen")).withColumn("_one", F.lit(1))
+    goal = F.least(F.col("_cap").cast("double"), F.coalesce("_chosen", F.lit(float("inf"))) * F.col("_w"))
+    return found.withColumn("_one", F.lit(1)).join(F.broadcast(chosen), "_one").select("source", "sid", "source_size", goal.alias("target"))
 
 
 def split_tree(goals: DataFrame, shards: int, blocks_per_shard: int, seed: int) -> DataFrame:
@@ -75,10 +74,12 @@ def split_tree(goals: DataFrame, shards: int, blocks_per_shard: int, seed: int)
     """
     levels = shards.bit_length() - 1
     assert shards == 1 << levels, "shards must be a power of two"
-    total = F.sum("target").over(Window.partitionBy())
-    quota = F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round(F.col("target") * (shards * blocks_per_shard) / total).cast("int"))).otherwise(0)
+    total = goals.agg(F.sum("target").alias("_total")).withColumn("_one", F.lit(1))
+    quota = F.when(F.col("target") > 0, F.greatest(F.lit(1), F.round(F.col("target") * (shards * blocks_per_shard) / F.col("_total")).cast("int"))).otherwise(0)
     blocks = (
-        goals.withColumn("quota", quota)
+        goals.withColumn("_one", F.lit(1))
+        .join(F.broadcast(total), "_one")
+        .withColumn("quota", quota)
         .where("quota > 0")
         .select("sid", "quota", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).alias("block"))
         .withColumn("shard", F.lit(0))
@@ -123,20 +124,23 @@ def mix(docs: DataFrame, shards: int = 16, blocks_per_shard: int = 64, share: fl
     for copy, name in ((0, "first"), (1, "second")):
         mine = dealt.select(F.col("sid").alias("_sid"), F.col("block").alias("_block"), F.col("shard").alias(f"{name}_shard"))
         at = F.when(F.col("copies") > copy, block(copy))
-        rows = rows.withColumn("_at", at).join(mine, (F.col("sid") == F.col("_sid")) & (F.col("_at") == F.col("_block")), "left").drop("_sid", "_block", "_at")
+        rows = rows.withColumn(f"{name}_block", at).join(mine, (F.col("sid") == F.col("_sid")) & (F.col(f"{name}_block") == F.col("_block")), "left").drop("_sid", "_block")
         rows = rows.withColumn(f"{name}_key", F.when(F.col("copies") > copy, F.xxhash64(F.lit(seed), F.lit(copy), "doc_id", "source")))
     return rows.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies",
-        "first_shard", "first_key", "second_shard", "second_key",
+        "first_block", "first_shard", "first_key", "second_block", "second_shard", "second_key",
         F.col("source").alias("mix_source"), F.col("_passes").cast("int").alias("passes"), F.col("_key").alias("order_key"),
     )
 
 
-def mixed_documents(docs: DataFrame, seed: int = 11, **settings) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``.
+def mixed_documents(docs: DataFrame, seed: int = 11, slices: int = 16, shard_column: str | None = None, **settings) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with the columns of ``docs``,
+    shard by shard of the splitting tree and shuffled inside each.
 
-    What a source gives beyond whole passes is a prefix of its seeded order, so one key
-    per source decides; the texts are not shuffled.
+    What a source gives beyond whole passes is a prefix of its seeded order, and so is each of its
+    blocks a stretch of it: keys of blocks (some thousand, however large the data are) tell a row's
+    copies and their shards.  Texts are shuffled once, to their shards; a shard is ``slices``
+    partitions, cut and ordered by the seeded key of the copies.  ``shard_column`` adds the shard.
     """
     taken = mix(docs, seed=seed, **settings)
 
@@ -145,11 +149,25 @@ def mixed_documents(docs: DataFrame, seed: int = 11, **settings) -> DataFrame:
 
     last = F.max(F.when(F.col("copies") > F.col("passes"), place(F.col("order_key"))))
     ends = saved(taken.groupBy("mix_source").agg(F.max("passes").alias("_passes"), last.alias("_last")), "mix-ends")
-    copies = F.col("_passes") + F.coalesce((place(order_key(seed)) <= F.col("_last")).cast("int"), F.lit(0))
-    return (
-        docs.join(ends, docs["source"].eqNullSafe(ends["mix_source"]))
-        .withColumn("_copies", F.when(F.regexp_count(docs["text"], F.lit(WORD)) > 0, copies).otherwise(0))
+    # Of each pass the last key of each stretch that goes to one shard, in order.
+    placed = taken.select("mix_source", place(F.col("order_key")).alias("_key"), F.explode(F.array(*[F.struct(F.lit(i).alias("copy"), F.col(f"{name}_block").alias("block"), F.col(f"{name}_shard").alias("shard")) for i, name in enumerate(("first", "second"))])).alias("c"))
+    stretches = placed.where("c.shard IS NOT NULL").groupBy("mix_source", "c.copy", "c.block", "c.shard").agg(F.max("_key").alias("until"))
+    by_source = stretches.groupBy(F.col("mix_source").alias("_s")).agg(F.sort_array(F.collect_list(F.struct("copy", "until", "shard"))).alias("_stretches"))
+    ends = saved(ends.join(by_source, F.col("mix_source").eqNullSafe(F.col("_s"))).drop("_s"), "mix-stretches")
+    copies = F.col("_passes") + F.coalesce((F.col("_key") <= F.col("_last")).cast("int"), F.lit(0))
+    mine = F.filter("_stretches", lambda x: (x["copy"] == F.col("_copy")) & (F.col("_key") <= x["until"]))
+    names = [f"_d{i}" for i in range(len(docs.columns))]  # columns of any name, ours among them
+    rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], docs["source"].alias("_s"), place(order_key(seed)).alias("_key"), F.regexp_count(docs["text"], F.lit(WORD)).alias("_words"))
+    rows = (
+        rows.where("_words > 0")
+        .join(ends, F.col("_s").eqNullSafe(F.col("mix_source")))
+        .withColumn("_copies", copies)
         .where("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[docs[c] for c in docs.columns])
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+        .withColumn("_shard", F.get(mine, F.lit(0))["shard"])
+        .withColumn("_order", F.xxhash64(F.lit(seed), "_copy", "_key"))
+        .withColumn("_slice", F.pmod(F.shiftright("_order", 40), F.lit(slices)))
     )
+    dealt = rows.repartition("_shard", "_slice").sortWithinPartitions("_shard", "_slice", "_order")
+    shard = [F.col("_shard").alias(shard_column)] if shard_column else []
+    return dealt.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)], *shard)

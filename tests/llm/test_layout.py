@@ -16,10 +16,12 @@ def test_preference_pairs(spark):
     turns = [
         (0, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (1, 2, "user", None),
         (2, 0, "user", "same"), (3, 0, "user", "same"), (5, 0, None, "alone"), (4, 1, "b", "x"), (4, 1, "a", "y"), (None, 0, "user", "lost"),
+        *[(2**60 + k, 0, "user", f"far{k}") for k in range(3)],
     ]
     frame = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, prompt int")
     got = {r.pair_id: r for r in chat.preference_pairs(frame).collect()}
-    assert set(got) == {0, 1, 2}
+    assert set(got) == {0, 1, 2, 2**59, 2**59 + 1}
+    assert got[2**59].chosen.count("far0") == 1 and got[2**59].rejected.count("far1") == 1 and got[2**59 + 1].rejected is None
     assert got[0].prompt == "<|user|>\nhi<|end|>\n" and got[0].chosen == "<|assistant|>\ngood<|end|>\n"
     assert got[0].rejected_mask == f"1:{len('<|assistant|>') + 1 + 3 + 8},0:{len('<|user|>') + 1 + 8}"
     assert got[1].n_prompt_turns == 1 and got[1].chosen == "" and got[1].rejected == ""
@@ -27,7 +29,7 @@ def test_preference_pairs(spark):
     assert chat.preference_pairs(frame.limit(0)).count() == 0
     for r in got.values():
         for text, mask in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask)):
-            assert sum(int(m.split(":")[1]) for m in mask.split(",") if m) == len(text)
+            assert text is None or sum(int(m.split(":")[1]) for m in mask.split(",") if m) == len(text)
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +63,65 @@ def test_shards_match_the_mixture(docs):
     assert [r.slot for r in few] == [0, 0, 0]
 
 
+def test_places_by_brute_force(spark, docs):
+    """Every row's shard and slot from the definition; equal texts; sources of one row."""
+    from zlib import crc32
+
+    rng = random.Random(21)
+    rows = [(i, rng.choice((None, "", "same", "é" * i)), rng.choice(("a", "b", None, f"only{i}"))) for i in range(300)]
+    frame = spark.createDataFrame([(*r, 5, "x", 1) for r in rows], "doc_id long, text string, source string, slot int, law string, _n int")
+    keys = {r.doc_id: r.k for r in frame.selectExpr("doc_id", "xxhash64(7, doc_id, source) AS k").collect()}
+    by_source = defaultdict(list)
+    for d, t, s in rows:
+        by_source[s].append((keys[d] % 2**64, d))
+    order = []
+    for s, members in by_source.items():
+        for r, (_, d) in enumerate(sorted(members), 1):
+            order.append(((2 * r - 1) / (2 * len(members)), (s is not None, s or ""), r, d))
+    place = {x[3]: i for i, x in enumerate(sorted(order))}
+    found = {r.doc_id: r for r in sharding.shard_rows(frame, shards=7).collect()}
+    for d, t, _ in rows:
+        r, shard = found[d], place[d] * 7 // 300
+        assert (r.size, r.text_crc32) == (16 + len((t or "").encode()), crc32((t or "").encode()))
+        assert (r.shard, r.slot) == (shard, place[d] - -(-shard * 300 // 7))
+    whole = sharding.sharded_documents(frame.union(frame.limit(3)), shards=7)
+    assert whole.columns == ["doc_id", "text", "source", "_n", "size", "text_crc32", "law", "shard", "slot"]
+    got = whole.collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter((r.doc_id, r.text) for r in frame.union(frame.limit(3)).collect())
+    assert len({(r.shard, r.slot) for r in got}) == 303
+    assert sharding.sharded_documents(frame.limit(0)).count() == 0
+
+
+def test_mixed_rows_go_to_the_shards_of_their_blocks(spark, docs):
+    rows = mixing.mix(docs).collect()
+    want = Counter()
+    for r in rows:
+        want.update((r.doc_id, s) for s in (r.first_shard, r.second_shard) if s is not None)
+    named = docs.withColumn("_shard", F.lit("clash")).withColumn("_d0", F.lit(3))
+    mixed = mixing.mixed_documents(named)
+    assert mixed.columns == named.columns
+    placed = mixing.mixed_documents(named, shard_column="to").withColumn("part", F.spark_partition_id()).collect()
+    assert Counter((r.doc_id, r.to) for r in placed) == want
+    assert len({s for _, s in want}) == 16
+    parts = defaultdict(list)
+    for r in placed:
+        parts[r.part].append(r.to)
+    assert all(p == sorted(p) for p in parts.values())
+
+
+def test_running_sums(spark):
+    from edictum.llm.common import running
+
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 50), rng.randint(0, 9), i) for i in range(500)]
+    got = running(spark.createDataFrame(rows, "a int, b int, i int").repartition(7), [F.col("a"), F.col("i")], ("b",)).collect()
+    want, total = {}, 0
+    for n, (_, b, i) in enumerate(sorted(rows, key=lambda r: (r[0], r[2]))):
+        want[i] = (n, total)
+        total += b
+    assert {r.i: (r._before, r._b_before) for r in got} == want
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
