@@ -3,6 +3,7 @@
 import math
 import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -107,7 +108,7 @@ def test_bands_and_batches_of_languages(spark):
     assert all(one[i].kept for i in range(300))
     many = {r.doc_id: r for r in rules.judged(docs, reach=2.0, most_entries=1).collect()}
     assert {i: round(r.log_ppl or 0, 9) for i, r in many.items()} == {i: round(r.log_ppl or 0, 9) for i, r in one.items()}
-    counted = {(r.lang, r.gram): r.n for r in rules.gram_counts(docs).collect()}
+    counted = {(r.lang, r.gram): r.n for r in rules.gram_counts(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()}
     whole = {}
     for _, t, lang, _ in rows:
         for gram in rules.text_grams(t, 3).tolist():
@@ -116,6 +117,80 @@ def test_bands_and_batches_of_languages(spark):
     assert rules.judged(docs.limit(0)).count() == 0
 
 
+def brute_model(texts, order=3):
+    """Probability of a byte after a context, from the textbook formulas, as a function."""
+    counts = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        raw = b"\n" * (order - 1) + t.encode()
+        if t:
+            counts[order].update(raw[i : i + order] for i in range(len(raw) - order + 1))
+    for k in range(order - 1, 0, -1):  # in how many contexts
+        counts[k].update(g[1:] for g in counts[k + 1])
+    cuts = [None] + [rules.discounts(np.array(list(c.values()))) for c in counts[1:]]
+    follows = [defaultdict(list) for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        for g, n in counts[k].items():
+            follows[k][g[:-1]].append(n)
+
+    def p(gram):
+        k = len(gram)
+        if not k:
+            return 1 / 256
+        seen = follows[k].get(gram[:-1])
+        if not seen:
+            return p(gram[1:])
+        n = counts[k][gram]
+        taken = sum(cuts[k][min(c, 3) - 1] for c in seen)
+        own = max(n - cuts[k][min(n, 3) - 1], 0) if n else 0
+        return own / sum(seen) + taken / sum(seen) * p(gram[1:])
+
+    return p
+
+
+def test_verdicts_by_brute_force_with_production_parameters(spark):
+    """Held-out perplexity, quartile bands and verdicts from the definitions; noise, salad of
+    symbols and repetition go, prose stays."""
+    rng = random.Random(19)
+    stems = ["".join(rng.choices("aeioustnrl", k=rng.randint(2, 5))) for _ in range(60)]
+
+    def prose():
+        return " ".join(rng.choice(stems) for _ in range(rng.randint(40, 120)))
+
+    def noise():
+        return " ".join("".join(chr(rng.randrange(33, 126)) for _ in range(6)) for _ in range(50))
+
+    rows = [(i, prose(), "en" if i % 4 else "de") for i in range(160)]
+    rows += [(200 + i, noise(), "en") for i in range(4)] + [(210, " ".join(f"aaa{c}" for c in "abcdefghij" * 4), "en"), (220, prose(), "solo"), (221, "", "en"), (222, None, None), (223, prose() * 200, "en")]
+    docs = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "doc_id long, text string, lang string, half int, log_ppl double").repartition(3)
+    half = {r.doc_id: r.h for r in docs.select("doc_id", rules.half_of(F.col("text")).alias("h")).collect()}
+    got = {r.doc_id: r for r in rules.judged(docs).collect()}
+    assert len(got) == len(rows)
+    score = {}
+    for lang in ("en", "de", "solo", None):
+        for h in (0, 1):
+            p = brute_model([t or "" for d, t, x in rows if x == lang and half[d] == h])
+            other = any(t for d, t, x in rows if x == lang and half[d] == h)
+            for d, t, x in rows:
+                if x == lang and half[d] == 1 - h and t and other:
+                    raw = b"\n\n" + t.encode()
+                    score[d] = -sum(math.log(p(raw[i : i + 3])) for i in range(len(raw) - 2)) / len(t.encode())
+    for d, t, lang in rows:
+        r = got[d]
+        base = brute_features(t)
+        assert r.base_failed == (base[0] < 10 or 100 * base[4] > 20 * base[0])
+        if d not in score:
+            assert r.log_ppl is None and r.kept == (not r.base_failed)
+            continue
+        assert math.isclose(r.log_ppl, score[d], rel_tol=1e-4)
+        same = sorted(score[e] for e, _, x in rows if x == lang and e in score)
+        low, high = (same[math.ceil(q * len(same)) - 1] for q in (0.25, 0.75))
+        margin = 3.0 * (high - low) + 2.0 / math.sqrt(len(t.encode()))
+        assert math.isclose(r.lower_band, low - margin, rel_tol=1e-4) and math.isclose(r.upper_band, high + margin, rel_tol=1e-4)
+        assert r.kept == (not r.base_failed and low - margin <= score[d] <= high + margin)
+    assert not any(got[200 + i].kept or got[200 + i].base_failed for i in range(4)) and not got[210].kept
+    assert all(got[i].kept for i in range(160))
+
+
 QUESTION = "A train leaves Paris at 12 hours and covers 300 km before it meets Anna who walks 5 km from the other station"
 
 
