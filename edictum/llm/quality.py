@@ -13,13 +13,16 @@ global rate, a path's towards its host's; the strength of either prior is estima
 the spread of the rates between sites (method of moments), so sparse sites stay near
 their parents.
 
-Verdict: log odds of a document = evidence + ``site_weight`` * (logit of the path's rate -
-logit of the global rate); it is kept if both log odds stay below ``cut``.
+Verdict: log odds of a document = evidence + ``site_weight`` * (logit of its path's rate -
+logit of the global rate); it is kept if both log odds stay below ``cut``.  The path's rate is
+that of its other documents: a document's own evidence counts once.
 
 Defined cases: a null text has the features of the empty one; null sources and languages
-are sites of their own; without labelled rows of both kinds a model has one low rate for all
-and rejects nothing; labels without a document, and repeated ones, count as they join; a
-null label is no label; repeated rows are judged alike; empty tables give no rows.
+are sites of their own; very long texts are read whole; without labelled rows of both kinds a
+model has one low rate for all and rejects nothing; labels without a document, and repeated ones,
+count as they join; a null label is no label; rows are judged by text, source and language,
+so rows of one doc_id, or of none, may differ and repeated rows don't; empty tables give no
+rows; columns other than doc_id, text, source and lang are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -119,14 +122,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, most_labelled: int, seed:
 
 
 def evidence(docs: DataFrame, labels: DataFrame, most_labelled: int, seed: int) -> DataFrame:
-    """doc_id, source, lang, bad, toxic: log odds of every document from its text."""
+    """doc_id, text_key, source, lang, bad, toxic: log odds of every document from its text."""
     rows, marks = training_rows(docs, labels, most_labelled, seed)
     models = []
     for _, column, positive in HEADS:
         known = [i for i, v in enumerate(marks[column]) if v is not None]
         models.append(fit([rows[i] for i in known], np.array([marks[column][i] == positive for i in known], float)))
     shared = docs.sparkSession.sparkContext.broadcast([(np.flatnonzero(w), w[w != 0], b) for w, b in models])
-    picked = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    picked = docs.select("doc_id", F.xxhash64(text).alias("text_key"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
 
     def run(batches):
         dense = []
@@ -135,11 +139,11 @@ def evidence(docs: DataFrame, labels: DataFrame, most_labelled: int, seed: int)
             w[at] = value
             dense.append((w, bias))
         for batch in slices(batches):
-            found = [features(t) for t in batch.column(3).to_pylist()]
+            found = [features(t) for t in batch.column(4).to_pylist()]
             odds = [pa.array([float(w[f].sum()) + b for f in found], pa.float64()) for w, b in dense]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *odds], names=["doc_id", "source", "lang", "bad", "toxic"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *odds], names=["doc_id", "text_key", "source", "lang", "bad", "toxic"])
 
-    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, source string, lang string, bad double, toxic double")
+    return picked.mapInArrow(run, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, text_key long, source string, lang string, bad double, toxic double")
 
 
 def _strength(rates: DataFrame, head: str) -> F.Column:
@@ -153,7 +157,8 @@ def _strength(rates: DataFrame, head: str) -> F.Column:
 
 
 def site_rates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(source, lang, bad_site, toxic_site) posterior rates of paths, and the global ones."""
+    """(source, lang, and of each head the posterior rate, the sum, the prior's strength and
+    its rate) of paths, and the global rates."""
     heads = [h for h, _, _ in HEADS]
     soft = rows.select("source", "lang", *[(1 / (1 + F.exp(-F.col(h)))).alias(h) for h in heads])
     paths = saved(soft.groupBy("source", "lang").agg(F.count("*").alias("n"), *[F.sum(h).alias(h) for h in heads]), "paths")
@@ -164,12 +169,14 @@ def site_rates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     host = level.select(F.col("source").alias("_s"), *[((F.col(h) + F.col(f"{h}_m") * F.col(f"{h}_parent")) / (F.col("n") + F.col(f"{h}_m"))).alias(f"{h}_parent") for h in heads])
     path = paths.join(host, F.col("source").eqNullSafe(F.col("_s"))).withColumns({f"{h}_rate": F.col(h) / F.col("n") for h in heads})
     path = path.crossJoin(F.broadcast(path.agg(*[_strength(path, h) for h in heads])))
-    sites = path.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), *[((F.col(h) + F.col(f"{h}_m") * F.col(f"{h}_parent")) / (F.col("n") + F.col(f"{h}_m"))).alias(f"{h}_site") for h in heads])
+    rates = [((F.col(h) + F.col(f"{h}_m") * F.col(f"{h}_parent")) / (F.col("n") + F.col(f"{h}_m"))).alias(f"{h}_site") for h in heads]
+    held = [c for h in heads for c in (F.col(h).alias(f"{h}_sum"), F.col(f"{h}_m"), F.col(f"{h}_parent"))]
+    sites = path.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("n").alias("_n"), *rates, *held)
     return sites, overall
 
 
 def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, site_weight: float = 1.0, cut: float = 0.0, seed: int = 3) -> DataFrame:
-    """doc_id, p_bad, p_toxic, kept of every document."""
+    """doc_id, p_bad, p_toxic, kept of every document (and text_key, source and lang)."""
     rows = saved(evidence(docs, labels, most_labelled, seed), "evidence")
     sites, overall = site_rates(rows)
     joined = rows.join(saved(sites.crossJoin(F.broadcast(overall)), "sites"), F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")))
@@ -177,15 +184,26 @@ def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, site
     def logit(p):
         return F.log(p / (1 - p))
 
-    odds = {h: F.col(h) + site_weight * (logit(F.col(f"{h}_site")) - logit(F.col(f"{h}_global"))) for h, _, _ in HEADS}
+    def others(head: str):
+        own = 1 / (1 + F.exp(-F.col(head)))
+        rate = (F.greatest(F.col(f"{head}_sum") - own, F.lit(0.0)) + F.col(f"{head}_m") * F.col(f"{head}_parent")) / (F.col("_n") - 1 + F.col(f"{head}_m"))
+        return F.least(F.greatest(rate, F.lit(1e-9)), F.lit(1 - 1e-9))
+
+    odds = {h: F.col(h) + site_weight * (logit(others(h)) - logit(F.col(f"{h}_global"))) for h, _, _ in HEADS}
     return joined.select(
-        "doc_id",
+        "doc_id", "text_key", "source", "lang",
         *[(1 / (1 + F.exp(-odds[h]))).alias(f"p_{h}") for h in odds],
         ((odds["bad"] < cut) & (odds["toxic"] < cut)).alias("kept"),
     )
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that ``classify`` keeps; rows without a doc_id stay."""
-    gone = classify(docs, labels, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that ``classify`` keeps."""
+    names = ("doc_id", "text_key", "source", "lang")
+    rejected = classify(docs, labels, **settings).where(~F.col("kept"))
+    gone = saved(rejected.select(*[F.col(n).alias(f"_gone_{n}") for n in names]).distinct(), "rejected")
+    own = {"doc_id": docs["doc_id"], "text_key": F.xxhash64(docs["text"].cast("string")), "source": docs["source"].cast("string"), "lang": docs["lang"].cast("string")}
+    same = F.lit(True)
+    for n in names:
+        same = same & own[n].eqNullSafe(gone[f"_gone_{n}"])
+    return docs.join(gone, same, "left_anti")

@@ -21,7 +21,7 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key", "source", "lang")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,6 +64,55 @@ def test_sparse_sites_stay_near_their_parents(spark):
     assert abs(rate["tiny"] - base) < abs(rate["big"] - base) and rate["good"] < base < rate["big"]
 
 
+def test_verdicts_from_the_evidence(spark, labelled):
+    """Hierarchical posteriors and verdicts recomputed from the documents' log odds."""
+    docs, marks = labelled
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    rows = quality.evidence(docs, labels, 8000, 3).toPandas()
+    found = quality.classify(docs, labels).toPandas()
+    key = ["doc_id", "text_key", "source", "lang"]
+    for head in ("bad", "toxic"):
+        rows[f"p_{head}"] = 1 / (1 + np.exp(-rows[head]))
+
+    def shrunk(sums, parent):
+        """Posterior rates of sites (n, total) towards ``parent``, and the prior's strength."""
+        n, rate = sums["count"], sums["sum"] / sums["count"]
+        between = (n * (rate - parent) ** 2).sum() / n.sum()
+        within = (parent * (1 - parent)).sum() / n.sum()
+        mean = (n * parent * (1 - parent)).sum() / n.sum()
+        m = max(5.0, min(1e4, mean / max(between - within, mean * 1e-4) - 1))
+        return (sums["sum"] + m * parent) / (n + m), m
+
+    odds = {}
+    for head in ("bad", "toxic"):
+        p = rows[f"p_{head}"]
+        overall = (p.sum() + 0.5) / (len(p) + 1)
+        hosts = p.groupby(rows.source.fillna("-")).agg(["count", "sum"])
+        host_rate, _ = shrunk(hosts, hosts["sum"] * 0 + overall)
+        paths = p.groupby([rows.source.fillna("-"), rows.lang.fillna("-")]).agg(["count", "sum"])
+        parent = paths["sum"] * 0 + [host_rate[s] for s, _ in paths.index]
+        _, m = shrunk(paths, parent)
+        at = list(zip(rows.source.fillna("-"), rows.lang.fillna("-"), strict=True))
+        rate = np.array([(paths["sum"][k] - own + m * parent[k]) / (paths["count"][k] - 1 + m) for k, own in zip(at, p, strict=True)])
+        odds[head] = rows[head] + np.log(rate / (1 - rate)) - np.log(overall / (1 - overall))
+    rows["kept"] = (odds["bad"] < 0) & (odds["toxic"] < 0)
+    for head in odds:
+        rows[f"p_{head}"] = 1 / (1 + np.exp(-odds[head]))
+    a, b = (x.fillna({"doc_id": -1, "source": "-", "lang": "-"}).sort_values(key).reset_index(drop=True) for x in (rows, found))
+    assert (a[key] == b[key]).all().all() and (a.kept == b.kept).all() and 0 < a.kept.sum() < len(a)
+    assert np.allclose(a.p_bad, b.p_bad) and np.allclose(a.p_toxic, b.p_toxic)
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark, labelled):
+    docs, marks = labelled
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    rng = random.Random(23)
+    bad, good = " | ".join(words(rng, 60).split()), words(rng, 60)
+    more = spark.createDataFrame([(9000, bad, "en", "s1", 1.0), (9000, good, "en", "s1", 1.0), (None, bad, "en", "s1", 1.0), (None, good, "en", "s1", 1.0), (9001, good * 300, "en", "s1", 1.0)], docs.schema)
+    kept = quality.kept_documents(docs.union(more).withColumn("_gone_doc_id", F.lit(1)).withColumn("bad", F.lit("x")), labels)
+    assert sorted(((r.doc_id, r.text) for r in kept.where("doc_id >= 9000 OR doc_id IS NULL").collect() if r.text in (bad, good, good * 300)), key=str) == sorted([(9000, good), (9001, good * 300), (None, good)], key=str)
+
+
 def brute_features(text):
     text = text or ""
     ws = WORD.findall(text)
