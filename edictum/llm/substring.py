@@ -213,7 +213,8 @@ def _copies(rows: DataFrame) -> DataFrame:
     """doc_id, text_key of the rows whose whole text a smaller doc_id has."""
     keyed = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.md5("text").alias("_m"))
     shared = keyed.groupBy("text_key", "_m").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first < _last")
-    return saved(keyed.join(shared, ["text_key", "_m"]).where("doc_id > _first").select("doc_id", "text_key").distinct(), "copies")
+    # Written first: only a join of plain tables can be split at a text that very many rows have.
+    return saved(keyed.join(saved(shared, "equal-texts"), ["text_key", "_m"]).where("doc_id > _first").select("doc_id", "text_key").distinct(), "copies")
 
 
 def affected(docs: DataFrame, copies: DataFrame, window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:

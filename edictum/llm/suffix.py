@@ -368,7 +368,7 @@ def _plan(docs: DataFrame, length: int, gram: int, most_in_group: int) -> tuple[
     rows = _keyed(docs.select("doc_id", "text"))
     marked = rows.where(F.octet_length("text") >= length).select("id", "text_key", F.md5("text").alias("m"))
     groups = marked.groupBy("text_key", "m").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = saved(marked.join(groups, ["text_key", "m"]).select("id", "text_key", (F.col("id") > F.col("first")).alias("later")).distinct(), "copies")
+    members = saved(marked.join(saved(groups, "equal-texts"), ["text_key", "m"]).select("id", "text_key", (F.col("id") > F.col("first")).alias("later")).distinct(), "copies")
     later = members.where("later").select("id", "text_key")
     left = _shortened(_affected(rows.select("id", "text_key", "text"), later, length, gram, most_in_group), length)
     return rows, members.select("id", "text_key"), left
