@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from edictum.functions.values import action_value, json_term, json_text, stable_json
 from edictum.operators import sparql
+from edictum.operators.ordering import numbered
 from edictum.sources.domain import Domain
 
 SCHEDULE_KEY = ("roleRank", "priority", "tsKey", "rid", "bindKey", "aid")
@@ -18,7 +19,7 @@ UNRANKED = 999
 
 def _rule_actions(quads: DataFrame, rule: dict, roles: DataFrame, window_id: str, ranks: dict, active: list | None, domain: Domain) -> DataFrame:
     query = sparql.parse(rule["condition_select"])
-    rows = sparql.to_frame(quads, query)
+    rows = sparql.to_frame(quads, query, bag=False)
     names = [n for n, _ in query.columns]
     predicate = rule["insert_template"]["predicate"]
     subject = dict(domain.subject_by_predicate).get(predicate, domain.subject_var)
@@ -52,10 +53,12 @@ def enable(quads: DataFrame, chosen: DataFrame, rules: list[dict], context: dict
 
 
 def schedule(actions: DataFrame, key: tuple[str, ...] = SCHEDULE_KEY, within: tuple[str, ...] = ("window_id",)) -> DataFrame:
-    """``schedule_index``: places in the total order, inside each window."""
+    """``schedule_index``: places in the total order, inside each window (``within``)."""
     missing = [k for k in key if k not in actions.columns]
     if missing:
         raise KeyError(missing[0])
+    if not within:  # one window only: no task should sort all of it
+        return numbered(actions, [F.col(k) for k in key], "schedule_index")
     return actions.withColumn("schedule_index", F.row_number().over(Window.partitionBy(*within).orderBy(*key)) - 1)
 
 

@@ -125,7 +125,7 @@ def _violations(triples: DataFrame, c: Constraint) -> DataFrame:
     nodes = _targets(triples, c)
     if c.select is not None:
         quads = triples.select(F.lit("urn:state").alias("g"), "s", "p", "o")
-        hits = sparql.to_frame(quads, c.query()).select(F.col("this")["lex"].alias("node"))
+        hits = sparql.to_frame(quads, c.query(), bag=False).select(F.col("this")["lex"].alias("node"))
         return nodes.join(hits, "node", "left_semi").select("node", F.lit(c.message or c.shape).alias("message"))
     objects = triples.where(F.col("p") == c.path).select(F.col("s").alias("node"), "o")
     held = nodes.join(objects, "node", "left").groupBy("node").agg(F.collect_list("o").alias("os"))

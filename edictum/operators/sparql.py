@@ -5,8 +5,9 @@ o) as joins, so Catalyst plans it; ``solve`` evaluates it over one component's g
 memory, for constraints inside the resolution fold.
 
 Triple patterns with one subject and constant predicates form a star.  A star is read in one
-scan as a property table (one aggregation by subject) instead of a self-join per pattern;
-patterns whose object is used nowhere else only test existence.
+scan as a property table (one aggregation by subject) instead of a self-join per pattern.
+Where repeated solutions don't matter (``bag`` false: rules, whose actions are told apart by
+identity, and constraints) patterns whose object is used nowhere else only test existence.
 """
 
 from __future__ import annotations
@@ -232,7 +233,7 @@ def _same(column: Column, t: Term) -> Column:
     return (column["kind"] == t.kind) & (column["lex"] == t.lex) & column["dt"].eqNullSafe(F.lit(t.dt))
 
 
-def _star(quads: DataFrame, graph: str | None, subject, patterns: list, uses: Counter) -> DataFrame:
+def _star(quads: DataFrame, graph: str | None, subject, patterns: list, uses: Counter, bag: bool) -> DataFrame:
     chosen = F.col("p").isin(sorted({p.lex for p, _ in patterns}))
     if graph:
         chosen &= F.col("g") == graph
@@ -257,7 +258,7 @@ def _star(quads: DataFrame, graph: str | None, subject, patterns: list, uses: Co
         if o.name in seen:
             name = o.name
             table = table.where(F.exists(f"_{i}", lambda x, name=name: (x["lex"] == F.col(name)["lex"]) & (x["kind"] == F.col(name)["kind"])))
-        elif uses[o.name] > 1:
+        elif bag or uses[o.name] > 1:
             table = table.withColumn(o.name, F.explode(f"_{i}"))
             seen.add(o.name)
     return table.select(*sorted(seen)) if seen else table.select(F.lit(1).alias("_any")).limit(1).drop("_any")
@@ -319,24 +320,24 @@ def _condition(e) -> Column:
     return _value(e)["lex"] == "true"
 
 
-def _group_frame(quads: DataFrame, group: list, uses: Counter) -> DataFrame | None:
+def _group_frame(quads: DataFrame, group: list, uses: Counter, bag: bool) -> DataFrame | None:
     stars: dict = {}
     out = None
     for element in group:
         if element[0] == "triple" and isinstance(element[3], Term):
             stars.setdefault((element[1], element[2]), []).append((element[3], element[4]))
     for (graph, subject), patterns in stars.items():
-        out = _join(out, _star(quads, graph, subject, patterns, uses))
+        out = _join(out, _star(quads, graph, subject, patterns, uses, bag))
     for element in group:
         kind = element[0]
         if kind == "triple" and isinstance(element[3], Var):
             out = _join(out, _generic(quads, element))
         elif kind == "join":
-            out = _join(out, _group_frame(quads, element[1], uses))
+            out = _join(out, _group_frame(quads, element[1], uses, bag))
         elif kind == "select":
-            out = _join(out, to_frame(quads, element[1]))
+            out = _join(out, to_frame(quads, element[1], bag))
         elif kind == "union":
-            parts = [_group_frame(quads, g, uses) for g in element[1]]
+            parts = [_group_frame(quads, g, uses, bag) for g in element[1]]
             both = parts[0]
             for part in parts[1:]:
                 both = both.unionByName(part, allowMissingColumns=True)
@@ -344,9 +345,9 @@ def _group_frame(quads: DataFrame, group: list, uses: Counter) -> DataFrame | No
     for element in group:
         kind = element[0]
         if kind == "optional":
-            out = _join(out, _group_frame(quads, element[1], uses), "left")
+            out = _join(out, _group_frame(quads, element[1], uses, bag), "left")
         elif kind in ("minus", "absent", "exists"):
-            out = _join(out, _group_frame(quads, element[1], uses), {"minus": "minus", "absent": "left_anti", "exists": "left_semi"}[kind])
+            out = _join(out, _group_frame(quads, element[1], uses, bag), {"minus": "minus", "absent": "left_anti", "exists": "left_semi"}[kind])
         elif kind == "bind":
             out = out.withColumn(element[1], _value(element[2]))
         elif kind == "filter":
@@ -354,12 +355,13 @@ def _group_frame(quads: DataFrame, group: list, uses: Counter) -> DataFrame | No
     return out
 
 
-def to_frame(quads: DataFrame, query: Select) -> DataFrame:
-    """One column (a term) per selected variable."""
+def to_frame(quads: DataFrame, query: Select, bag: bool = True) -> DataFrame:
+    """One column (a term) per selected variable; without ``bag`` solutions may be fewer times
+    there than they would be, but for what an aggregate counts."""
     uses = _uses(query, Counter())
     for name, _ in query.columns:
         uses[name] += 1
-    rows = _group_frame(quads, query.where, uses)
+    rows = _group_frame(quads, query.where, uses, bag or any(made for _, made in query.columns))
     if any(made for _, made in query.columns):
         made = []
         for name, call in query.columns:

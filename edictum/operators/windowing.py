@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edictum.operators.ordering import numbered
 from edictum.sources.domain import Domain
 from edictum.sources.terms import BOOLEAN, DECIMAL, INTEGER, RDF_TYPE, term_column
 
@@ -66,12 +67,13 @@ def select_window(events: DataFrame, window: dict, anchor: str | None = None, or
         chosen = log.where((F.col("ts_key") >= start) & (F.col("ts_key") < end))
     else:
         start, end = log.agg(F.min("ts_key"), F.max("ts_key")).first()
-        chosen = log
+        chosen = log  # "single" as well, whose id doesn't name its bounds
     order = [F.col("ts_key") if k == "timestamp" else F.col(k) for k in ordering]
-    chosen = chosen.withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)
+    chosen = numbered(chosen, order, "ordinal")
     empty = chosen.isEmpty()
     shown = {"window_type": kind, "window_start": iso(start), "window_end": iso(end), "anchor_timestamp": iso(at)}
-    return chosen, shown | {"window_id": "empty" if empty else f"{kind}:{iso(start)}::{iso(end)}"}
+    named = window.get("window_id", "single-window") if kind == "single" else f"{kind}:{iso(start)}::{iso(end)}"
+    return chosen, shown | {"window_id": "empty" if empty else named}
 
 
 def window_join(events: DataFrame, anchors: DataFrame, length_minutes: int) -> DataFrame:

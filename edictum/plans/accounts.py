@@ -104,9 +104,3 @@ def admissible(s: dict[str, Column]) -> Column:
         & (~s["locked"] | (s["segment"] == "LOCKED"))
         & ((s["segment"] != "OFF") | (s["balance"] <= OFF_TOP))
     )
-
-
-def recent(events: DataFrame, days: int = 5) -> DataFrame:
-    """The closed window of ``days`` up to the last event."""
-    last = events.agg((F.max("ts_key") - days * 86_400_000_000).alias("_from"))
-    return events.crossJoin(F.broadcast(last)).where(F.col("ts_key") >= F.col("_from")).drop("_from")

@@ -1,9 +1,8 @@
-"""Named queries of the rule engine over the driver's tables, and their SQL equivalents."""
+"""Named queries of the native fold and its neighbours over the driver's tables, and their SQL;
+``step_queries`` has those of whole steps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,21 +10,9 @@ from edictum.operators import actions as A
 from edictum.operators import slots as S
 from edictum.operators import windowing as W
 from edictum.plans import accounts as M
+from edictum.plans import step_queries  # noqa: F401 (registers its queries)
 from edictum.plans.accounts import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
+from edictum.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 
 DAY = 86_400_000_000
 ZONES = """zones AS (SELECT c_custkey AS zone, least(greatest(CAST(round(c_acctbal * 100) AS BIGINT), 0), 999999) AS balance,
@@ -34,7 +21,7 @@ LOG = """log AS (SELECT event_id, user_id AS zone, event_type, epoch_us(ts) AS t
   CAST(json_extract(props, '$.k') AS BIGINT) AS k,
   CASE WHEN event_type = 'error' THEN 'emergency' WHEN event_type IN ('purchase', 'signup') THEN 'operator' ELSE 'occupant' END AS role
   FROM events)"""
-RECENT = f"recent AS (SELECT * FROM log WHERE ts_key >= (SELECT max(ts_key) - {5 * DAY} FROM log))"
+RECENT = "recent AS (SELECT * FROM log)"
 RULES = """rules(rid, kind, priority, slot) AS (VALUES ('r1','click',2,'balance'),('r2','purchase',1,'balance'),('r3','signup',1,'segment'),
   ('r4','view',2,'balance'),('r5','error',1,'locked'),('r6','error',0,'segment'),('r7','purchase',1,'balance'),('r8','purchase',1,'segment'))"""
 ENABLED = """en0 AS (SELECT l.zone, event_id, ts_key, role,
@@ -84,7 +71,7 @@ FOLD = f"WITH RECURSIVE {BASE}, {_fold_sql(True)}"
 
 
 def _enabled(spark: SparkSession, d: str) -> DataFrame:
-    return M.enabled(M.recent(M.log(spark, d)), M.zones(spark, d))
+    return M.enabled(M.log(spark, d), M.zones(spark, d))
 
 
 def _folded(spark: SparkSession, d: str, conflict: bool = True, guarded: bool = True) -> DataFrame:
@@ -94,119 +81,9 @@ def _folded(spark: SparkSession, d: str, conflict: bool = True, guarded: bool =
     return S.fold_slots(acts, M.zones(spark, d), "zone", M.SLOTS, M.ORDER, M.admissible, conflict)
 
 
-# --- scans and projections ------------------------------------------------------------
-
-
-@query(f"WITH {LOG} SELECT event_id, zone, event_type, ts_key, cents, k, role FROM log")
-def src_events_scan(spark, d):
-    return M.log(spark, d).drop("ts")
-
-
-@query(f"WITH {RULES} SELECT rid, kind, CAST(priority AS INTEGER) AS priority, slot FROM rules")
-def src_rules_dim(spark, d):
-    return spark.createDataFrame([(r, k, p, s) for r, k, p, s, _, _ in M.RULES], "rid string, kind string, priority int, slot string")
-
-
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def payload_json_extract(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-
-
-@query("SELECT event_id, epoch_us(ts) AS ts_key FROM events")
-def tskey_micros(spark, d):
-    return M.log(spark, d).select("event_id", "ts_key")
-
-
-TRIPLES_SQL = f"""WITH {LOG} SELECT 'urn:event:' || event_id AS s, 'urn:prop:' || p AS p, o FROM (
-  SELECT event_id, 'eid' AS p, CAST(event_id AS VARCHAR) AS o FROM log UNION ALL SELECT event_id, 'type', event_type FROM log
-  UNION ALL SELECT event_id, 'role', role FROM log UNION ALL SELECT event_id, 'k', CAST(k AS VARCHAR) FROM log
-  UNION ALL SELECT event_id, 'cents', CAST(cents AS VARCHAR) FROM log UNION ALL SELECT event_id, 'zone', CAST(zone AS VARCHAR) FROM log)"""
-
-
-def _event_triples(spark, d):
-    pairs = [F.struct(F.lit("urn:prop:" + n).alias("p"), F.col(c).cast("string").alias("o")) for n, c in (("eid", "event_id"), ("type", "event_type"), ("role", "role"), ("k", "k"), ("cents", "cents"), ("zone", "zone"))]
-    return M.log(spark, d).select(F.concat(F.lit("urn:event:"), F.col("event_id").cast("string")).alias("s"), F.explode(F.array(*pairs)).alias("e")).select("s", "e.p", "e.o")
-
-
-@query(TRIPLES_SQL)
-def event_to_triples(spark, d):
-    return _event_triples(spark, d)
-
-
-QUADS_SQL = f"""WITH {ZONES} SELECT 'urn:state' AS g, 'urn:zone:' || zone AS s, p, o FROM (
-  SELECT zone, 'balance' AS p, CAST(balance AS VARCHAR) AS o FROM zones UNION ALL SELECT zone, 'segment', segment FROM zones
-  UNION ALL SELECT zone, 'locked', CAST(locked AS VARCHAR) FROM zones UNION ALL SELECT zone, 'type', 'Zone' FROM zones)"""
-
-
-def _state_quads(spark, d):
-    pairs = [F.struct(F.lit(n).alias("p"), c.cast("string").alias("o")) for n, c in (("balance", F.col("balance")), ("segment", F.col("segment")), ("locked", F.col("locked")), ("type", F.lit("Zone")))]
-    return M.zones(spark, d).select(F.lit("urn:state").alias("g"), F.concat(F.lit("urn:zone:"), F.col("zone").cast("string")).alias("s"), F.explode(F.array(*pairs)).alias("e")).select("g", "s", "e.p", "e.o")
-
-
-@query(QUADS_SQL)
-def state_to_quads(spark, d):
-    return _state_quads(spark, d)
-
-
-STAR_SQL = f"""WITH t AS ({TRIPLES_SQL}) SELECT a.s AS e, b.o AS zone, c.o AS cents FROM t a JOIN t b ON a.s = b.s JOIN t c ON a.s = c.s
-  WHERE a.p = 'urn:prop:type' AND a.o = 'purchase' AND b.p = 'urn:prop:zone' AND c.p = 'urn:prop:cents'"""
-
-
-@query(STAR_SQL)
-def bgp_star_join(spark, d):
-    t = _event_triples(spark, d)
-    kinds = t.where((F.col("p") == "urn:prop:type") & (F.col("o") == "purchase")).select("s")
-    zone = t.where(F.col("p") == "urn:prop:zone").select("s", F.col("o").alias("zone"))
-    return kinds.join(zone, "s").join(t.where(F.col("p") == "urn:prop:cents").select("s", F.col("o").alias("cents")), "s").withColumnRenamed("s", "e")
-
-
-@query(STAR_SQL)
-def bgp_pivot(spark, d):
-    t = _event_triples(spark, d).where(F.col("p").isin("urn:prop:type", "urn:prop:zone", "urn:prop:cents"))
-    wide = t.groupBy("s").agg(*[F.max(F.when(F.col("p") == f"urn:prop:{n}", F.col("o"))).alias(n) for n in ("type", "zone", "cents")])
-    return wide.where("type = 'purchase'").select(F.col("s").alias("e"), "zone", "cents")
-
-
-# --- joins ----------------------------------------------------------------------------
-
-
-@query(f"WITH {LOG}, {ZONES} SELECT event_id, l.zone, balance, segment FROM log l JOIN zones z ON l.zone = z.zone WHERE event_type = 'purchase'")
-def event_state_join(spark, d):
-    return M.log(spark, d).where("event_type = 'purchase'").join(M.zones(spark, d), "zone").select("event_id", "zone", "balance", "segment")
-
-
-@query(f"""WITH {LOG}, {ZONES}, e AS (SELECT event_id FROM log WHERE event_type = 'error' ORDER BY event_id LIMIT 3)
-  SELECT event_id, zone FROM e, zones WHERE segment = 'BUILDING'""")
-def event_state_cross(spark, d):
-    few = M.log(spark, d).where("event_type = 'error'").orderBy("event_id").limit(3).select("event_id")
-    return M.zones(spark, d).where("segment = 'BUILDING'").select("zone").crossJoin(F.broadcast(few))
-
-
-@query(f"WITH {LOG}, {ZONES} SELECT event_id, zone FROM log l WHERE EXISTS (SELECT 1 FROM zones z WHERE z.zone = l.zone AND z.segment = 'BUILDING')")
-def existential_semi(spark, d):
-    return M.log(spark, d).join(M.zones(spark, d).where("segment = 'BUILDING'"), "zone", "left_semi").select("event_id", "zone")
-
-
-@query(f"WITH {LOG} SELECT event_id FROM log l WHERE NOT EXISTS (SELECT 1 FROM log c WHERE c.event_id = l.event_id AND c.k > 50)")
-def ledger_anti(spark, d):
-    rows = M.log(spark, d)
-    return rows.join(rows.where("k > 50").select("event_id"), "event_id", "left_anti").select("event_id")
-
-
-@query(f"WITH {LOG} SELECT event_id, coalesce(r.rank, 999) AS role_rank FROM log l LEFT JOIN (VALUES ('emergency', 0), ('operator', 1)) r(role, rank) ON l.role = r.role")
-def role_left_default(spark, d):
-    ranks = spark.createDataFrame([("emergency", 0), ("operator", 1)], "role string, rank int")
-    return M.log(spark, d).join(F.broadcast(ranks), "role", "left").select("event_id", F.coalesce("rank", F.lit(999)).alias("role_rank"))
-
-
 # --- windows --------------------------------------------------------------------------
 
 
-@query(f"WITH {LOG} SELECT event_id FROM log WHERE ts_key BETWEEN (SELECT max(ts_key) FROM log) - {5 * DAY} AND (SELECT max(ts_key) FROM log)")
-def window_sliding_closed(spark, d):
-    return M.recent(M.log(spark, d)).select("event_id")
-
-
 HOP_SQL = f"""h AS (SELECT (max(ts_key) // {DAY} + 1) * {DAY} AS e FROM log)"""
 
 
@@ -217,11 +94,6 @@ def window_hopping_anchor(spark, d):
     return rows.join(F.broadcast(bounds), (F.col("ts_key") >= F.col("b")) & (F.col("ts_key") < F.col("e"))).select("event_id")
 
 
-@query(f"WITH {LOG} SELECT min(ts_key) AS first_ts, max(ts_key) AS last_ts, count(*) AS n FROM log")
-def window_unbounded(spark, d):
-    return M.log(spark, d).agg(F.min("ts_key").alias("first_ts"), F.max("ts_key").alias("last_ts"), F.count("*").alias("n"))
-
-
 ANCHORS = [f"2024-01-{x:02d} 00:00:00" for x in range(6, 31, 3)]
 ANCHOR_SQL = "anchors AS (SELECT unnest([" + ", ".join(f"TIMESTAMP '{a}'" for a in ANCHORS) + "]) AS anchor)"
 
@@ -257,64 +129,6 @@ def window_id_meta(spark, d):
 # --- values, identity, filters --------------------------------------------------------
 
 
-def _values(spark, d, rid):
-    return _enabled(spark, d).where(F.col("rid") == rid)
-
-
-@query(f"WITH {BASE} SELECT event_id, to_balance FROM enabled WHERE rid = 'r2'")
-def value_copy(spark, d):
-    return _values(spark, d, "r2").select("event_id", "to_balance")
-
-
-@query(f"WITH {BASE} SELECT event_id, to_segment FROM enabled WHERE rid = 'r6'")
-def value_literal(spark, d):
-    return _values(spark, d, "r6").select("event_id", "to_segment")
-
-
-@query(f"WITH {BASE} SELECT event_id, to_balance FROM enabled WHERE rid = 'r1'")
-def value_numeric_add(spark, d):
-    return _values(spark, d, "r1").select("event_id", "to_balance")
-
-
-@query(f"WITH {BASE} SELECT event_id, to_balance FROM enabled WHERE rid = 'r4'")
-def value_add_constant(spark, d):
-    return _values(spark, d, "r4").select("event_id", "to_balance")
-
-
-@query(f"WITH {BASE} SELECT event_id, rid, bind_key FROM enabled")
-def action_bindkey(spark, d):
-    return _enabled(spark, d).select("event_id", "rid", "bind_key")
-
-
-@query(f"WITH {BASE} SELECT event_id, rid, aid FROM enabled")
-def action_aid(spark, d):
-    return _enabled(spark, d).select("event_id", "rid", "aid")
-
-
-@query(f"WITH {BASE} SELECT aid FROM enabled WHERE role IN ('operator', 'emergency')")
-def role_filter(spark, d):
-    active = spark.createDataFrame([("operator",), ("emergency",)], "role string")
-    return _enabled(spark, d).join(F.broadcast(active), "role", "left_semi").select("aid")
-
-
-@query(f"WITH {LOG}, {RULES} SELECT event_id, rid FROM log JOIN rules ON kind = event_type WHERE role = CASE WHEN rid IN ('r1','r4') THEN 'occupant' WHEN rid IN ('r5','r6') THEN 'emergency' ELSE 'operator' END")
-def event_role_match(spark, d):
-    issuing = F.when(F.col("rid").isin("r1", "r4"), "occupant").when(F.col("rid").isin("r5", "r6"), "emergency").otherwise("operator")
-    rules = F.broadcast(src_rules_dim(spark, d).withColumn("issuing", issuing))
-    return M.log(spark, d).join(rules, F.col("event_type") == F.col("kind")).where("role IS NULL OR role = issuing").select("event_id", "rid")
-
-
-@query(f"WITH {BASE} SELECT DISTINCT aid, rid, zone, slot, role, CAST(priority AS INTEGER) AS priority FROM enabled")
-def enabled_actions(spark, d):
-    return _enabled(spark, d).dropDuplicates(["aid"]).select("aid", "rid", "zone", "slot", "role", "priority")
-
-
-@query(f"WITH {BASE} SELECT zone, aid, row_number() OVER (PARTITION BY zone ORDER BY role_rank, priority, ts_key, rid, bind_key, aid) - 1 AS schedule_index FROM enabled")
-def schedule_total_order(spark, d):
-    key = ("role_rank", "priority", "ts_key", "rid", "bind_key", "aid")
-    return A.schedule(_enabled(spark, d), key, ("zone",)).select("zone", "aid", F.col("schedule_index").cast("bigint").alias("schedule_index"))
-
-
 @query(f"""WITH {BASE}, o AS (SELECT *, row_number() OVER (PARTITION BY zone, slot ORDER BY role_rank, priority, ts_key, rid, aid) AS r FROM enabled)
   SELECT zone, slot, aid FROM o WHERE r = 1""")
 def first_writer_simple(spark, d):
@@ -322,89 +136,6 @@ def first_writer_simple(spark, d):
     return _enabled(spark, d).groupBy("zone", "slot").agg(F.min_by("aid", key).alias("aid"))
 
 
-@query(f"""WITH {BASE}, o AS (SELECT *, row_number() OVER (PARTITION BY zone, slot ORDER BY role_rank DESC, priority DESC, ts_key DESC, rid DESC, aid DESC) AS r FROM enabled)
-  SELECT zone, slot, aid, coalesce(CAST(to_balance AS VARCHAR), to_segment, CAST(to_locked AS VARCHAR)) AS value FROM o WHERE r = 1""")
-def last_writer_wins(spark, d):
-    value = F.coalesce(F.col("to_balance").cast("string"), "to_segment", F.col("to_locked").cast("string"))
-    return _enabled(spark, d).withColumn("v", value).groupBy("zone", "slot").agg(F.max_by("aid", F.struct(*M.ORDER)).alias("aid"), F.max_by("v", F.struct(*M.ORDER)).alias("value"))
-
-
-@query(f"WITH {BASE} SELECT aid, coalesce(refused, CASE WHEN slot = 'balance' THEN 'policy_guard_passed' ELSE 'policy_guard_not_applicable' END) AS policy_reason FROM enabled")
-def policy_guard(spark, d):
-    passed = F.when(F.col("slot") == "balance", "policy_guard_passed").otherwise("policy_guard_not_applicable")
-    return _enabled(spark, d).select("aid", F.coalesce("refused", passed).alias("policy_reason"))
-
-
-# --- constraints on raw tables --------------------------------------------------------
-
-
-@query("SELECT o_custkey AS node, count(*) AS n FROM (SELECT c_custkey AS o_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey) t GROUP BY 1 HAVING count(o_orderkey) < 1 OR count(o_orderkey) > 20")
-def shape_cardinality(spark, d):
-    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
-    held = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c"))
-    both = nodes.join(held, F.col("node") == F.col("o_custkey"), "left").select("node", F.coalesce("c", F.lit(0)).alias("c"))
-    return both.where("c < 1 OR c > 20").select("node", F.greatest("c", F.lit(1)).cast("bigint").alias("n"))
-
-
-@query("SELECT c_custkey AS node FROM customer WHERE c_acctbal IS NULL OR c_acctbal < 0 OR c_acctbal > 9000")
-def shape_range(spark, d):
-    return table(spark, d, "customer").where(~F.coalesce(F.col("c_acctbal").between(0, 9000), F.lit(False))).select(F.col("c_custkey").alias("node"))
-
-
-@query("SELECT c_custkey AS node, c_mktsegment AS value FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
-def shape_enum(spark, d):
-    return table(spark, d, "customer").where(~F.col("c_mktsegment").isin("BUILDING", "MACHINERY")).select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("value"))
-
-
-@query("SELECT o_orderkey AS node FROM orders WHERE try_cast(substr(o_orderpriority, 1, 1) AS INTEGER) IS NULL OR try_cast(o_orderpriority AS INTEGER) IS NULL")
-def shape_datatype(spark, d):
-    p = F.col("o_orderpriority")
-    return table(spark, d, "orders").where(F.substring(p, 1, 1).try_cast("int").isNull() | p.try_cast("int").isNull()).select(F.col("o_orderkey").alias("node"))
-
-
-@query("SELECT n_nationkey AS node, n_name AS name FROM nation WHERE n_nationkey = 3 AND n_regionkey <> 0")
-def shape_target_node(spark, d):
-    return table(spark, d, "nation").where("n_nationkey = 3 AND n_regionkey <> 0").select(F.col("n_nationkey").alias("node"), F.col("n_name").alias("name"))
-
-
-@query("SELECT c_custkey AS node FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000")
-def shape_implication(spark, d):
-    return table(spark, d, "customer").where("c_mktsegment = 'BUILDING' AND c_acctbal > 5000").select(F.col("c_custkey").alias("node"))
-
-
-BUDGET = 500_000_00
-
-
-@query(f"""SELECT n_nationkey AS node, coalesce(sum(CAST(round(c_acctbal * 100) AS BIGINT)), 0)::BIGINT AS total FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey
-  GROUP BY 1 HAVING coalesce(sum(CAST(round(c_acctbal * 100) AS BIGINT)), 0) > {BUDGET // 200}""")
-def shape_budget_sum(spark, d):
-    sums = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sum(M.cents(F.col("c_acctbal"))).alias("t"))
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
-    both = nodes.join(sums, F.col("node") == F.col("c_nationkey"), "left").select("node", F.coalesce("t", F.lit(0)).alias("total"))
-    return both.where(F.col("total") > BUDGET // 200)
-
-
-@query("SELECT n_nationkey AS node FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900)")
-def shape_universal(spark, d):
-    over = table(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
-    return table(spark, d, "nation").join(over, "n_nationkey", "left_anti").select(F.col("n_nationkey").alias("node"))
-
-
-@query("""SELECT node, string_agg(message, chr(10) ORDER BY message) AS report FROM (
-  SELECT c_custkey AS node, 'balance: range' AS message FROM customer WHERE c_acctbal < 0 OR c_acctbal > 9000
-  UNION ALL SELECT c_custkey, 'segment: in' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
-  UNION ALL SELECT c_custkey, 'rich building' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000) t GROUP BY node""")
-def validation_report(spark, d):
-    rows = table(spark, d, "customer")
-    tests = (
-        (~F.col("c_acctbal").between(0, 9000), "balance: range"),
-        (F.expr("c_mktsegment = 'BUILDING' AND c_acctbal > 5000"), "rich building"),
-        (~F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "segment: in"),
-    )
-    found = rows.select(F.col("c_custkey").alias("node"), F.array_sort(F.array_compact(F.array(*[F.when(t, m) for t, m in tests]))).alias("ms"))
-    return found.where(F.size("ms") > 0).select("node", F.array_join("ms", "\n").alias("report"))
-
-
 # --- resolution -----------------------------------------------------------------------
 
 
@@ -425,11 +156,6 @@ def resolve_reason_hist(spark, d):
     return S.decisions(_folded(spark, d), "zone").groupBy(_reason_class(F.col("reason")).alias("reason_class")).agg(F.count("*").alias("n"))
 
 
-@query(FOLD + f" SELECT aid AS id, {CLASS_SQL} AS reason_class FROM fold WHERE i > 0")
-def reason_class(spark, d):
-    return S.decisions(_folded(spark, d), "zone").select("id", _reason_class(F.col("reason")).alias("reason_class"))
-
-
 SUCCESSOR_SQL = """last AS (SELECT zone, arg_max(balance, i) AS b, arg_max(segment, i) AS s, arg_max(locked, i) AS l FROM fold GROUP BY zone),
 next AS (SELECT z.zone, coalesce(b, balance) AS balance, coalesce(s, segment) AS segment, coalesce(l, locked) AS locked FROM zones z LEFT JOIN last USING (zone))"""
 
@@ -444,11 +170,6 @@ def resolve_successor_state(spark, d):
     return _successor(spark, d)
 
 
-@query(FOLD + " SELECT count(*) AS scheduled_count, count(*) FILTER (reason = 'admissible') AS accepted_count, count(*) FILTER (reason <> 'admissible') AS rejected_count FROM fold WHERE i > 0")
-def trace_summary(spark, d):
-    return S.decisions(_folded(spark, d), "zone").agg(F.count("*").alias("scheduled_count"), F.count_if("accepted").alias("accepted_count"), F.count_if(~F.col("accepted")).alias("rejected_count"))
-
-
 @query(f"WITH RECURSIVE {BASE}, {_fold_sql(False, False)} SELECT zone, aid AS id, reason FROM fold WHERE i > 0")
 def gated_no_shadow(spark, d):
     return S.decisions(_folded(spark, d, conflict=False, guarded=False), "zone").select("zone", "id", "reason")
@@ -476,75 +197,14 @@ def _lines(state):
     return state.select("zone", F.explode(F.array(*slot)).alias("line"))
 
 
-@query(f"WITH {ZONES}, l AS ({LINES_SQL.format('zones')}) SELECT count(*) AS triple_count, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l")
-def graph_digest(spark, d):
-    return _lines(M.zones(spark, d)).agg(F.count("*").alias("triple_count"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
-
-
 @query(f"WITH {ZONES}, l AS ({LINES_SQL.format('zones')}) SELECT zone, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY zone")
 def component_digests(spark, d):
     return _lines(M.zones(spark, d)).groupBy("zone").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
 
 
-@query(FOLD + f", {SUCCESSOR_SQL}, a AS ({LINES_SQL.format('zones')}), b AS ({LINES_SQL.format('next')}) SELECT line FROM (SELECT line FROM a EXCEPT SELECT line FROM b) t")
-def graph_delta_removed(spark, d):
-    return _lines(M.zones(spark, d)).select("line").subtract(_lines(_successor(spark, d)).select("line"))
-
-
-@query(FOLD + f", {SUCCESSOR_SQL}, a AS ({LINES_SQL.format('zones')}), b AS ({LINES_SQL.format('next')}) SELECT line FROM (SELECT line FROM b EXCEPT SELECT line FROM a) t")
-def graph_delta_inserted(spark, d):
-    return _lines(_successor(spark, d)).select("line").subtract(_lines(M.zones(spark, d)).select("line"))
-
-
-@query(FOLD + """, w AS (SELECT zone, i, '<urn:zone:' || zone || '> <balance> "' || balance || '" .' || chr(10) || '<urn:zone:' || zone || '> <locked> "' || locked || '" .' || chr(10) || '<urn:zone:' || zone || '> <segment> "' || segment || '" .' AS t FROM fold)
-  SELECT zone, i - 1 AS place, sha256(t) AS post_digest FROM w WHERE i > 0""")
-def asof_digests(spark, d):
-    acts = _enabled(spark, d).select("aid", "slot", "to_balance", "to_segment", "to_locked")
-    done = S.decisions(_folded(spark, d), "zone").join(acts, F.col("id") == F.col("aid"))
-    along = Window.partitionBy("zone").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    for s in M.SLOTS:
-        done = done.withColumn(f"v_{s}", F.last(F.when(F.col("accepted") & (F.col("slot") == s), F.col(f"to_{s}")), ignorenulls=True).over(along))
-    held = done.join(M.zones(spark, d), "zone")
-    parts = [F.concat(F.lit("<urn:zone:"), F.col("zone").cast("string"), F.lit(f'> <{s}> "'), F.coalesce(f"v_{s}", s).cast("string"), F.lit('" .')) for s in sorted(M.SLOTS)]
-    return held.select("zone", F.col("place").cast("bigint").alias("place"), F.sha2(F.concat_ws("\n", *parts), 256).alias("post_digest"))
-
-
-@query(FOLD + """, n AS (SELECT zone, i, aid, reason FROM fold WHERE i > 0),
-  r AS (SELECT zone, i, aid, CASE WHEN i % 7 = 0 THEN 'changed' ELSE reason END AS reason FROM n)
-  SELECT zone, min(i) - 1 AS first_difference FROM n FULL JOIN r USING (zone, i) WHERE n.reason IS DISTINCT FROM r.reason OR n.aid IS DISTINCT FROM r.aid GROUP BY zone""")
-def replay_compare(spark, d):
-    now = S.decisions(_folded(spark, d), "zone").select("zone", "place", "id", "reason")
-    then = now.select("zone", "place", F.col("id").alias("id_then"), F.when((F.col("place") + 1) % 7 == 0, "changed").otherwise(F.col("reason")).alias("reason_then"))
-    both = now.join(then, ["zone", "place"], "full")
-    return both.where(~F.col("reason").eqNullSafe(F.col("reason_then")) | ~F.col("id").eqNullSafe(F.col("id_then"))).groupBy("zone").agg(F.min("place").cast("bigint").alias("first_difference"))
-
-
 # --- steps ----------------------------------------------------------------------------
 
 
-@query(f"WITH {MULTI_SQL} SELECT event_id, count(*) AS firings FROM multi WHERE event_type = 'view' GROUP BY 1")
-def multi_step_redelivery(spark, d):
-    return _multi(spark, d).where("event_type = 'view'").groupBy("event_id").agg(F.count("*").alias("firings"))
-
-
-@query(f"WITH {MULTI_SQL} SELECT event_id, min(anchor_key) AS consumed_at FROM multi WHERE event_type = 'view' GROUP BY 1")
-def multi_step_consume_once(spark, d):
-    return _multi(spark, d).where("event_type = 'view'").groupBy("event_id").agg(F.min("anchor_key").alias("consumed_at"))
-
-
-@query(f"""WITH {MULTI_SQL}, arrived AS (SELECT event_id, ts_key + (k * {DAY}) // 10 AS arrival FROM log)
-  SELECT event_id FROM log l WHERE NOT EXISTS (SELECT 1 FROM multi m JOIN arrived a ON a.event_id = m.event_id WHERE m.event_id = l.event_id AND arrival <= anchor_key)""")
-def late_events(spark, d):
-    arrival = F.expr(f"ts_key + (k * {DAY}L) div 10")
-    seen = _multi(spark, d).where(arrival <= F.col("anchor_key")).select("event_id")
-    return M.log(spark, d).join(seen, "event_id", "left_anti").select("event_id")
-
-
-@query(f"WITH {BASE} SELECT role_rank, CAST(priority AS INTEGER) AS priority, count(*) AS n, count(DISTINCT zone) AS zones FROM enabled GROUP BY 1, 2")
-def tie_group_sizes(spark, d):
-    return _enabled(spark, d).groupBy("role_rank", "priority").agg(F.count("*").alias("n"), F.countDistinct("zone").alias("zones"))
-
-
 @query(f"WITH {ZONES} SELECT segment, count(DISTINCT sha256(balance || '|' || segment)) AS unique_states FROM zones GROUP BY 1")
 def unique_state_count(spark, d):
     return M.zones(spark, d).groupBy("segment").agg(F.countDistinct(F.sha2(F.concat_ws("|", F.col("balance").cast("string"), "segment"), 256)).alias("unique_states"))

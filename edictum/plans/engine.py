@@ -66,7 +66,7 @@ def run_step(
     chosen = written(chosen, "window")
     quads = written(windowing.state_quads(state).unionByName(windowing.event_quads(chosen, domain)), "quads")
     enabled = actions.enable(quads, chosen, rules, context, window["window_id"], domain)
-    scheduled = written(actions.schedule(enabled, tuple(settings["schedule_key"])), "schedule")
+    scheduled = written(actions.schedule(enabled, tuple(settings["schedule_key"]), ()), "schedule")
     active = tuple(context["active_roles"]) if context["enforce_active_roles"] and enforce_roles_in_resolution else None
     options = resolution.Options(domain.gate_order, settings["governance"]["conflict_policy"], active)
     decisions = written(resolution.resolve(state, scheduled, constraints, domain, options), "decisions")

@@ -63,6 +63,7 @@ def _point_rule(rid, priority, role, event, writes, expr, **more):
     return rule(CHARGING, rid, priority, role, event, writes, expr, "cp", "ChargingPoint", **more)
 
 
+# Fixed values of the applications' data.
 EV_RULES = [
     _point_rule("q1", 1, "driver", "ChargeRequest", "chargingPower", copied("power"), payload=("power",)),
     _point_rule("q2", 1, "fleet", "FleetSchedule", "chargingPower", copied("power"), payload=("power",)),
@@ -74,6 +75,7 @@ EV_RULES = [
     _point_rule("q8", 1, "fleet", "FaultDetected", "connectorState", fixed("outOfService")),
 ]
 
+# Fixed values of the applications' data.
 HVAC_RANKS = {"emergency": 0, "operator": 1, "occupant": 2}
 EV_RANKS = {"grid": 0, "fleet": 1, "driver": 2}
 HVAC_CONTEXTS = {"default": {"principal": "automation-engine", "active_roles": list(HVAC_RANKS), "role_rank": dict(HVAC_RANKS)}}
@@ -83,6 +85,7 @@ def _number(text: str) -> Term:
     return Term("lit", text, DECIMAL)
 
 
+# Fixed values of the applications' data.
 def hvac_triples() -> list[tuple[str, str, Term]]:
     b = BUILDING
     out = []
@@ -100,6 +103,7 @@ def hvac_triples() -> list[tuple[str, str, Term]]:
     return out
 
 
+# Fixed values of the applications' data.
 def ev_triples() -> list[tuple[str, str, Term]]:
     b = CHARGING
     out = []
@@ -128,6 +132,7 @@ def _when(base: str, shape: str, kind: str, target: str, pattern: str, message:
     return Constraint(base + shape, kind, base + target, select=f"PREFIX ex: <{base}> SELECT $this WHERE {{ {pattern} }}", message=message)
 
 
+# Fixed values of the applications' data.
 HVAC_SHAPES = [
     _slot(BUILDING, "ZoneSetpointShape", "HVAC_Zone", "currentSetpoint", "18", "26"),
     _slot(BUILDING, "ZoneVentilationShape", "HVAC_Zone", "ventilationMode", values=("off", "normal", "high", "emergency")),
@@ -137,6 +142,7 @@ HVAC_SHAPES = [
     _when(BUILDING, "EmergencyVentLockShape", "class", "HVAC_Zone", '$this ex:emergencyState true . $this ex:ventilationMode ?now . FILTER (?now != "emergency")', "An emergency needs emergency ventilation."),
 ]
 
+# Fixed values of the applications' data.
 EV_SHAPES = [
     _slot(CHARGING, "ChargingPowerShape", "ChargingPoint", "chargingPower", "0", "22"),
     _slot(CHARGING, "ConnectorStateShape", "ChargingPoint", "connectorState", values=("free", "occupied", "charging", "outOfService")),
@@ -152,3 +158,8 @@ EV_SHAPES = [
         "A point draws more than 5 kW from a curtailed feeder.",
     ),
 ]
+
+
+def shared_budget_shapes() -> list[Constraint]:
+    """A cap for each point and a budget for all of them, for generated charging states."""
+    return [EV_SHAPES[0], EV_SHAPES[3]]

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edictum.functions.values import stable_json
+from edictum.operators import canon
 from edictum.sources.domain import BUILDING
-from edictum.sources.terms import BOOLEAN, DECIMAL, RDF_TYPE, term_column
+from edictum.sources.readers import triples_frame
+from edictum.sources.terms import BOOLEAN, DECIMAL, RDF_TYPE, Term, iri, term_column
 
 
 POLICY = {"occupantMaxSetpoint": "23.0", "operatorMaxSetpoint": "24.0", "emergencyMaxSetpoint": "26.0", "minSetpoint": "18.0"}
@@ -31,6 +34,36 @@ def zone_state(spark: SparkSession, n: int, base: str = BUILDING, policy: dict[s
     return zones.union(node)
 
 
+def tied_state(spark: SparkSession, base: str = BUILDING) -> DataFrame:
+    """The zone that tied actions write, and a policy that lets them."""
+    zone, policy = base + "SynthZone", base + "Policy"
+    rows = [(zone, RDF_TYPE, iri(base + "HVAC_Zone")), (policy, RDF_TYPE, iri(base + "ControlPolicy"))]
+    rows += [(zone, base + p, Term("lit", lex, dt)) for p, lex, dt in (("currentSetpoint", "20.0", DECIMAL), ("ventilationMode", "normal", None), ("emergencyState", "false", BOOLEAN), ("occupied", "true", BOOLEAN), ("co2Level", "500", DECIMAL))]
+    rows += [(policy, base + p, Term("lit", lex, DECIMAL)) for p, lex in (("occupantMaxSetpoint", "26"), ("operatorMaxSetpoint", "26"), ("emergencyMaxSetpoint", "26"), ("minSetpoint", "18"))]
+    return triples_frame(spark, rows)
+
+
+def tied_actions(spark: SparkSession, n: int, base: str = BUILDING) -> DataFrame:
+    """``n`` actions on one slot that differ in rule, binding and identity only; values go round
+    from 18 to 26."""
+    zone, predicate = base + "SynthZone", base + "currentSetpoint"
+    bind = F.concat(F.lit('{"i":'), F.col("id").cast("string"), F.lit("}"))
+    rid, eid = F.format_string("r_synth_%04d", "id"), F.format_string("synth-evt-%04d", "id")
+    amount = (18 + F.col("id") % 9).cast("double")
+    quoted = {"bindings": bind, "eid": F.concat(F.lit('"'), eid, F.lit('"')), "predicate": F.lit(f'"{predicate}"'), "rid": F.concat(F.lit('"'), rid, F.lit('"')), "window_id": F.lit('"urn:window"')}
+    return spark.range(n).select(
+        F.sha2(stable_json(quoted), 256).alias("aid"), rid.alias("rid"), F.concat(F.lit("urn:event:"), eid).alias("event_uri"), eid.alias("event_id"), F.lit("2026-03-14T09:00:00Z").alias("event_ts"),
+        F.lit("operator").alias("event_role"), F.lit("urn:window").alias("window_id"), F.lit(zone).alias("zone"), F.lit(predicate).alias("predicate"), F.lit(f"{zone}|{predicate}").alias("target_key"),
+        F.struct(F.lit("number").alias("kind"), amount.cast("string").alias("lex"), amount.alias("num")).alias("value"),
+        F.lit(1).alias("priority"), F.lit("operator").alias("role"), F.lit(1).alias("roleRank"), F.lit(0).cast("long").alias("tsKey"), bind.alias("bindKey"),
+    )
+
+
+def primed(state: DataFrame, slots: list[tuple[str, str, Term]]) -> DataFrame:
+    """``state`` with some slots set otherwise."""
+    return canon.apply_writes(state, triples_frame(state.sparkSession, slots))
+
+
 def requests(
     spark: SparkSession,
     n: int,
