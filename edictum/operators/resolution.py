@@ -4,7 +4,7 @@ Every action passes gates in a fixed order (role, policy, conflict, admissibilit
 may order them otherwise); an accepted one replaces its slot before the next is looked at.
 The fold is sequential inside a component, and components run in parallel: zones where all
 constraints look at their own target only and the state is admissible at the start (then
-only a touched zone can become inadmissible), else one component for everything.
+only a touched zone can become inadmissible), else one component for everything, in one task.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ DECISIONS = (
 )
 
 
+IN_BUCKET = 5_000  # actions
+
+
 @dataclass(frozen=True)
 class Options:
     gates: tuple[str, ...]
@@ -132,21 +135,36 @@ def resolve(state: DataFrame, scheduled: DataFrame, constraints: list, domain: D
     if mode is None:
         mode = components(constraints, shacl.violations(state, constraints).isEmpty()) if constraints else "zone"
     policy = policy_values(state, domain)
-    key = F.col("zone") if mode == "zone" else F.lit("all")
+    # Independent zones are dealt to buckets of some thousand actions; a bucket folds zone by zone.
+    buckets = max(int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")), scheduled.count() // IN_BUCKET + 1) if mode == "zone" else 1
+
+    def bucket(name: str):
+        return F.pmod(F.xxhash64(name), F.lit(buckets))
+
     todo = scheduled.select(
-        key.alias("c"), "schedule_index", "aid", "rid", "event_id", "event_role", "role", "target_key", "zone", "predicate",
+        bucket("zone").alias("c"), "schedule_index", "aid", "rid", "event_id", "event_role", "role", "target_key", "zone", "predicate",
         F.col("value")["kind"].alias("kind"), F.col("value")["lex"].alias("lex"), F.col("value")["num"].alias("num"),
     )
-    graph = state.select((F.col("s") if mode == "zone" else F.lit("all")).alias("c"), "s", "p", F.col("o")["kind"].alias("kind"), F.col("o")["lex"].alias("lex"), F.col("o")["dt"].alias("dt"))
+    graph = state
     if mode == "zone":
-        graph = graph.join(todo.select("c").distinct(), "c", "left_semi")
+        graph = graph.join(scheduled.select(F.col("zone").alias("s")).distinct(), "s", "left_semi")
+    graph = graph.select(bucket("s").alias("c"), "s", "p", F.col("o")["kind"].alias("kind"), F.col("o")["lex"].alias("lex"), F.col("o")["dt"].alias("dt"))
     names = [x.split()[0] for x in DECISIONS.split(", ")]
+    for c in constraints:
+        if c.select is not None:
+            c.query()  # parsed here, once, and not by every worker
 
     def run(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("schedule_index")
         acts = [{k: (None if v is None or v != v else v) for k, v in a.items()} for a in left.drop(columns="c").to_dict("records")]
         held = graph_of([(s, p, k, x, None if d is None or d != d else d) for s, p, k, x, d in right[["s", "p", "kind", "lex", "dt"]].itertuples(index=False)])
-        return pd.DataFrame(fold(acts, held, policy, constraints, domain, options, mode == "zone"), columns=names)
+        if mode != "zone":
+            return pd.DataFrame(fold(acts, held, policy, constraints, domain, options, False), columns=names)
+        by_zone: dict = {}
+        for a in acts:
+            by_zone.setdefault(a["zone"], []).append(a)
+        done = [d for zone, mine in by_zone.items() for d in fold(mine, {zone: held[zone]} if zone in held else {}, policy, constraints, domain, options, True)]
+        return pd.DataFrame(done, columns=names)
 
     return todo.groupBy("c").cogroup(graph.groupBy("c")).applyInPandas(run, DECISIONS)
 

@@ -41,17 +41,21 @@ class Constraint:
     has_value: Term | None = None
     select: str | None = None
     message: str | None = None
+    _query: object = field(default=None, repr=False, compare=False)
 
     @property
     def local(self) -> bool:
         """Whether the constraint looks at its own target's slots only."""
         if self.select is None:
             return True
-        subjects = {e[2] for e in _triples(sparql.parse(self.select).where)}
+        subjects = {e[2] for e in _triples(self.query().where)}
         return subjects <= {sparql.Var("this")}
 
     def query(self):
-        return sparql.parse(self.select)
+        """The parsed SPARQL constraint; kept, as the fold asks for it with each action."""
+        if self._query is None:
+            self._query = sparql.parse(self.select)
+        return self._query
 
 
 def _triples(group: list) -> list:
