@@ -65,7 +65,8 @@ def run_step(
     chosen, window = windowing.select_window(events, settings["window"], anchor, tuple(settings["event_ordering"]))
     chosen = written(chosen, "window")
     quads = written(windowing.state_quads(state).unionByName(windowing.event_quads(chosen, domain)), "quads")
-    enabled = actions.enable(quads, chosen, rules, context, window["window_id"], domain)
+    # Written: the schedule's range partitions look at it twice.
+    enabled = written(actions.enable(quads, chosen, rules, context, window["window_id"], domain), "enabled")
     scheduled = written(actions.schedule(enabled, tuple(settings["schedule_key"]), ()), "schedule")
     active = tuple(context["active_roles"]) if context["enforce_active_roles"] and enforce_roles_in_resolution else None
     options = resolution.Options(domain.gate_order, settings["governance"]["conflict_policy"], active)
