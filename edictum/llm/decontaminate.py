@@ -221,3 +221,44 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -
     """The rows of ``docs`` without a leak."""
     found = saved(leaks(docs, benchmark, least).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(), "leaks")
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_d"]) & (F.xxhash64(docs["text"].cast("string")) == found["_k"]), "left_anti")
+
+
+def _tokens_sql(source: str, made: str) -> str:
+    """(id, pos, tok) of the texts of ``source`` (id, text), as ``with_tokens`` has them."""
+    units = ", ".join("'" + u + "'" for u in UNITS)
+    return f"""{made}_0 AS (SELECT id, unnest(regexp_extract_all(text, '{TOKEN}')) AS t, generate_subscripts(regexp_extract_all(text, '{TOKEN}'), 1) AS pos FROM {source}),
+{made}_1 AS (SELECT id, pos, CASE WHEN t >= '0' AND t < ':' THEN chr(1) || t WHEN lower(t[1]) <> t[1] AND upper(t[2]) <> t[2] THEN chr(2) || lower(t) ELSE lower(t) END AS t FROM {made}_0),
+{made}_2 AS (SELECT *, t >= chr(1) AND t < chr(2) AS num, replace(t, chr(2), '') IN ({units}) AND NOT (t >= chr(1) AND t < chr(2)) AS unit FROM {made}_1),
+{made}_3 AS (SELECT *, lag(num) OVER w AS after_num, lead(unit) OVER w AS before_unit, lead(t) OVER w AS following FROM {made}_2 WINDOW w AS (PARTITION BY id ORDER BY pos)),
+{made} AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS pos, tok, CASE WHEN tok < chr(4) THEN tok[1] ELSE tok END AS shape FROM (
+  SELECT id, pos, CASE WHEN num AND before_unit THEN chr(3) || substr(t, 2) || ' ' || replace(following, chr(2), '') ELSE t END AS tok FROM {made}_3 WHERE NOT (unit AND coalesce(after_num, false))) s)"""
+
+
+_TRIM = "CASE WHEN {0}[1] = chr(2) AND pos = first THEN chr(2) || string_split(substr({0}, 2), ' ')[-1] WHEN {0}[1] = chr(2) AND pos = last THEN chr(2) || string_split(substr({0}, 2), ' ')[1] ELSE {0} END"
+
+#: Every diagonal of every document and class of items, by a join of equal template tokens.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS id, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) x),
+items AS (SELECT row_number() OVER () AS id, item_id, text FROM benchmark WHERE text IS NOT NULL),
+{_tokens_sql("docs", "d")},
+{_tokens_sql("items", "b")},
+patterned AS (SELECT *, CASE WHEN tok < chr(4) THEN min(pos) OVER (PARTITION BY id, tok) ELSE -1 END AS equal FROM b),
+keyed AS (SELECT id, string_agg(shape || '/' || equal, chr(31) ORDER BY pos) AS ck, count(*) AS n FROM patterned GROUP BY id),
+classes AS (SELECT ck, min(item_id) AS class_id, any_value(n) AS n, min(keyed.id) AS id FROM keyed JOIN items USING (id) GROUP BY ck),
+met AS (SELECT d.id AS doc, ck, class_id, n, b.pos, d.pos - b.pos AS diagonal, d.tok AS mine, b.tok AS theirs, b.shape FROM classes JOIN b USING (id) JOIN d ON d.shape = b.shape),
+islands AS (SELECT *, pos - row_number() OVER (PARTITION BY doc, ck, diagonal ORDER BY pos) AS island FROM met),
+runs AS (SELECT doc, ck, diagonal, island, min(pos) AS first, max(pos) AS last, count(*) AS n_tokens, count(*) FILTER (shape < chr(4)) AS n_slots
+  FROM islands GROUP BY doc, ck, diagonal, island HAVING count(*) >= least({LEAST}, any_value(n))),
+held AS (SELECT i.*, first, last, n_tokens, n_slots FROM islands i JOIN runs r USING (doc, ck, diagonal, island)),
+judged AS (SELECT doc, ck, diagonal, first, any_value(last) AS last, any_value(class_id) AS class_id, any_value(n) AS n, any_value(n_tokens) AS n_tokens, any_value(n_slots) AS n_slots,
+    count(DISTINCT theirs || chr(31) || mine) FILTER (inner_slot) AS pairs, count(DISTINCT theirs) FILTER (inner_slot) AS lefts, count(DISTINCT mine) FILTER (inner_slot) AS rights
+  FROM (SELECT *, shape < chr(4) AND NOT (shape = chr(2) AND pos IN (first, last)) AS inner_slot FROM held) h GROUP BY doc, ck, diagonal, first),
+verbatim AS (SELECT h.doc, h.ck, h.diagonal, h.first, m.id FROM held h JOIN keyed m USING (ck) JOIN b ON b.id = m.id AND b.pos = h.pos
+  GROUP BY h.doc, h.ck, h.diagonal, h.first, m.id HAVING bool_and({_TRIM.format("h.mine").replace("pos =", "h.pos =")} = {_TRIM.format("b.tok").replace("pos =", "h.pos =")})),
+found AS (
+  SELECT doc, item_id, class_id, n_tokens, n_slots, 'verbatim' AS kind, first FROM verbatim v JOIN judged USING (doc, ck, diagonal, first) JOIN items ON items.id = v.id
+  UNION ALL SELECT doc, class_id, class_id, n_tokens, n_slots, 'reparameterised', first FROM judged j
+  WHERE n >= {WINDOW} AND ((pairs = lefts AND pairs = rights AND 3 * (n_tokens - n_slots) >= n_tokens) OR n_tokens - n_slots >= {LEAST}) AND NOT EXISTS (SELECT 1 FROM verbatim v WHERE v.doc = j.doc AND v.ck = j.ck)),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc, item_id ORDER BY kind DESC, n_tokens DESC, first, n_slots, class_id) AS r FROM found)
+SELECT doc_id, item_id, class_id, CAST(n_tokens AS INTEGER) AS n_tokens, CAST(n_slots AS INTEGER) AS n_slots, kind FROM best JOIN docs ON docs.id = best.doc WHERE r = 1
+"""

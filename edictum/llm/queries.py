@@ -61,4 +61,10 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {"op2_chat": chat.ORACLE, "op3_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_suffix": suffix.ORACLE,
+    "op2_chat": chat.ORACLE,
+    "op3_lines": lines.ORACLE,
+    "op8_decontaminate": decontaminate.ORACLE,
+    "op9_substring": substring.ORACLE,
+}

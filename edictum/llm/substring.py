@@ -313,3 +313,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, period: int = PERIOD
     long = F.regexp_count("text", F.lit(WORD)) >= window
     kept = F.when(F.col("_copy").isNotNull() & long, F.lit("")).otherwise(F.coalesce("left_text", "text"))
     return found.select(*docs.columns, kept.alias("kept_text"))
+
+
+#: Every window by itself; a window's first document is the one of least doc_id.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT r, doc_id, i, md5(array_to_string(ws[i + 1 : i + {WINDOW}], ' ')) AS m FROM (SELECT r, doc_id, ws, unnest(range(0, len(ws) - {WINDOW - 1})) AS i FROM docs WHERE len(ws) >= {WINDOW} AND doc_id IS NOT NULL) x),
+firsts AS (SELECT m, min(doc_id) AS first FROM w GROUP BY m),
+hit AS (SELECT r, i FROM w JOIN firsts USING (m) WHERE doc_id > first),
+gone AS (SELECT DISTINCT r, i + k AS pos FROM hit, range(0, {WINDOW}) ks(k)),
+every AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM docs),
+cut AS (SELECT e.r, count(g.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.pos) FILTER (g.pos IS NULL), '') AS kept FROM every e LEFT JOIN gone g ON e.r = g.r AND e.pos = g.pos GROUP BY e.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM docs LEFT JOIN cut USING (r)
+"""

@@ -394,3 +394,19 @@ def dedup_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_in
     rows, copies, left = _plan(docs, length, gram, most_in_group)
     judged = rows.join(left.select("id", "text_key", "left"), ["id", "text_key"], "left").join(copies.withColumn("copy", F.lit(True)), ["id", "text_key"], "left")
     return judged.select("doc_id", F.when(F.col("copy").isNotNull(), F.lit(b"")).otherwise(F.coalesce("left", F.encode("text", "UTF-8"))).alias("kept"))
+
+
+#: Every window by itself, as 800 hexadecimal digits; runs of covered bytes as islands.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM (SELECT r, h, unnest(range(0, len(h) // 2 - {LENGTH - 1})) AS i FROM docs WHERE len(h) >= {2 * LENGTH}) x),
+hit AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+marked AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS fresh FROM hit),
+numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS island FROM marked),
+spans AS (SELECT r, min(i) AS a, max(i) + {LENGTH} AS b FROM numbered GROUP BY r, island),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT g.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || any_value(substr(h, 2 * last + 1)) AS kept
+  FROM gaps g JOIN docs USING (r) JOIN (SELECT r, max(b) AS last FROM spans GROUP BY r) l USING (r) GROUP BY g.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""
