@@ -15,23 +15,28 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from decimal import Decimal, InvalidOperation
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edictum.sources.terms import BOOLEAN, DECIMAL, INTEGER, NUMERIC, RDF_TYPE, XSD, Term, iri, number, term_column
+from edictum.operators.expressions import COMPARED, FUNCTIONS, Var, as_number, condition, evaluate, holds, same, value
+from edictum.sources.shared import written
+from edictum.sources.terms import BOOLEAN, DECIMAL, INTEGER, RDF_TYPE, TERM, XSD, Term, iri, number, term_column
 
 _TOKEN = re.compile(
     r'(?P<string>"""(?:[^"\\]|\\.|"(?!""))*"""|"(?:[^"\\]|\\.)*")|<(?P<iri>[^<>\s]*)>|[?$](?P<var>\w+)'
-    r"|(?P<number>\d+(?:\.\d+)?)|(?P<op>\^\^|<=|>=|!=|&&|\|\||[<>=!+*/-])|(?P<mark>[{}().;,])"
+    r"|(?P<number>\d+(?:\.\d+)?)|(?P<op>\^\^|<=|>=|!=|&&|\|\||[<>=!+*/^|?-])|(?P<mark>[{}().;,])"
     r"|(?P<name>[A-Za-z_][\w-]*:[\w-]+|[A-Za-z_][\w-]*:?|:[\w-]+)|(?P<skip>\s+|\#[^\n]*)"
 )
 
 
 @dataclass(frozen=True)
-class Var:
-    name: str
+class Path:
+    """A property path: ``kind`` is seq, alt, inv, plus, star or opt; parts are IRIs or paths."""
+
+    kind: str
+    parts: tuple
 
 
 @dataclass
@@ -41,6 +46,9 @@ class Select:
     group_by: list = field(default_factory=list)
     distinct: bool = False
     limit: int | None = None
+    offset: int = 0
+    having: list = field(default_factory=list)  # (name of a hidden column or None, condition)
+    order: list = field(default_factory=list)  # (variable, descending)
 
 
 class _Parser:
@@ -53,7 +61,7 @@ class _Parser:
             if found.lastgroup != "skip":
                 self.tokens.append((found.lastgroup, found[found.lastgroup]))
             at = found.end()
-        self.at, self.prefixes = 0, {"xsd": XSD}
+        self.at, self.prefixes, self.fresh = 0, {"xsd": XSD}, 0
 
     def peek(self, ahead: int = 0):
         return self.tokens[self.at + ahead] if self.at + ahead < len(self.tokens) else ("end", "")
@@ -111,8 +119,26 @@ class _Parser:
             self.word("BY")
             while self.peek()[0] == "var":
                 found.group_by.append(self.next()[1])
-        if self.word("LIMIT"):
-            found.limit = int(self.next()[1])
+        if self.word("HAVING"):
+            while self.peek() == ("mark", "("):
+                self.need("(")
+                found.having.append(self.expression(calls=found))
+                self.need(")")
+        if self.word("ORDER"):
+            self.word("BY")
+            while self.peek()[0] == "var" or self.peek()[1].upper() in ("ASC", "DESC"):
+                down = self.peek()[1].upper() == "DESC" and self.peek()[0] == "name"
+                if self.word("ASC", "DESC"):
+                    self.need("(")
+                    found.order.append((self.next()[1], down))
+                    self.need(")")
+                else:
+                    found.order.append((self.next()[1], False))
+        while self.peek()[1].upper() in ("LIMIT", "OFFSET"):
+            if self.word("LIMIT"):
+                found.limit = int(self.next()[1])
+            elif self.word("OFFSET"):
+                found.offset = int(self.next()[1])
         return found
 
     def group(self, graph: str | None = None) -> list:
@@ -139,6 +165,8 @@ class _Parser:
                 self.word("AS")
                 out.append(("bind", self.next()[1], value))
                 self.need(")")
+            elif self.word("VALUES"):
+                out.append(self.values())
             elif self.peek() == ("name", "SELECT") or self.peek()[1].upper() == "SELECT":
                 out.append(("select", self.select()))
             elif self.peek() == ("mark", "{"):
@@ -155,14 +183,82 @@ class _Parser:
     def patterns(self, graph: str | None, out: list) -> None:
         subject = self.term()
         while True:
-            predicate = self.term()
-            out.append(("triple", graph, subject, predicate, self.term()))
+            predicate = self.path()
+            self.triple(out, graph, subject, predicate, self.term())
             while self.mark(","):
-                out.append(("triple", graph, subject, predicate, self.term()))
+                self.triple(out, graph, subject, predicate, self.term())
             if not self.mark(";") or self.peek()[1] in (".", "}"):
                 return
 
+    def values(self) -> tuple:
+        """VALUES ?v { ... } and VALUES (?v ?w) { (...) ... }."""
+        several = self.mark("(")
+        names = []
+        while self.peek()[0] == "var":
+            names.append(self.next()[1])
+        if several:
+            self.need(")")
+        self.need("{")
+        rows = []
+        while not self.mark("}"):
+            if several:
+                self.need("(")
+            rows.append(tuple(None if self.word("UNDEF") else self.term() for _ in names))
+            if several:
+                self.need(")")
+        return ("values", names, rows)
+
+    def path(self):
+        """A predicate: an IRI, a variable or a property path."""
+        parts = [self.path_sequence()]
+        while self.mark("|"):
+            parts.append(self.path_sequence())
+        return parts[0] if len(parts) == 1 else Path("alt", tuple(parts))
+
+    def path_sequence(self):
+        parts = [self.path_step()]
+        while self.mark("/"):
+            parts.append(self.path_step())
+        return parts[0] if len(parts) == 1 else Path("seq", tuple(parts))
+
+    def path_step(self):
+        if self.mark("^"):
+            return Path("inv", (self.path_step(),))
+        if self.mark("("):
+            found = self.path()
+            self.need(")")
+        else:
+            found = self.term()
+        for sign, kind in (("+", "plus"), ("*", "star"), ("?", "opt")):
+            if self.mark(sign):
+                return Path(kind, (found,))
+        return found
+
+    def triple(self, out: list, graph: str | None, subject, predicate, obj) -> None:
+        """A pattern; sequences, inverses and alternatives become simpler ones."""
+        if not isinstance(predicate, Path) or predicate.kind in ("plus", "star", "opt"):
+            out.append(("triple" if not isinstance(predicate, Path) else "path", graph, subject, predicate, obj))
+        elif predicate.kind == "inv":
+            self.triple(out, graph, obj, predicate.parts[0], subject)
+        elif predicate.kind == "seq":
+            nodes = [subject]
+            for _ in predicate.parts[1:]:
+                self.fresh += 1
+                nodes.append(Var(f"_step{self.fresh}"))
+            for part, a, b in zip(predicate.parts, nodes, [*nodes[1:], obj], strict=True):
+                self.triple(out, graph, a, part, b)
+        else:
+            groups: list[list] = []
+            for part in predicate.parts:
+                groups.append([])
+                self.triple(groups[-1], graph, subject, part, obj)
+            out.append(("union", groups))
+
     def term(self):
+        if self.peek() == ("op", "-") and self.tokens[self.at + 1][0] == "number":
+            self.next()
+            found = self.term()
+            return Term(found.kind, "-" + found.lex, found.dt)
         kind, value = self.next()
         if kind == "var":
             return Var(value)
@@ -182,23 +278,60 @@ class _Parser:
             return iri(self.prefixes[prefix] + local)
         raise ValueError(f"term expected, found {value!r}")
 
-    def primary(self):
+    def primary(self, calls: Select | None = None):
         if self.mark("("):
-            found = self.expression()
+            found = self.expression(calls=calls)
             self.need(")")
             return found
         if self.mark("!"):
-            return ("!", self.primary())
+            return ("!", self.primary(calls))
+        if self.peek() == ("op", "-"):
+            self.next()
+            return ("neg", self.primary(calls))
+        kind, name = self.peek()
+        if kind == "name" and self.tokens[self.at + 1 : self.at + 2] == [("mark", "(")]:
+            self.next()
+            self.need("(")
+            name = name.upper()
+            if name in AGGREGATES:
+                # In HAVING: a column of its own that the result doesn't show.
+                argument = None if self.mark("*") else self.next()[1]
+                self.need(")")
+                if calls is None:
+                    raise ValueError(f"{name} outside SELECT and HAVING")
+                calls.columns.append((f"_having{len(calls.columns)}", (name, argument)))
+                return Var(calls.columns[-1][0])
+            if name not in FUNCTIONS:
+                raise ValueError(f"unknown function {name}")
+            arguments = []
+            while not self.mark(")"):
+                arguments.append(self.expression(calls=calls))
+                self.mark(",")
+            return ("call", name, tuple(arguments))
         return self.term()
 
-    def expression(self, level: int = 0):
-        levels = (("||",), ("&&",), ("=", "!=", "<", ">", "<=", ">="))
+    def expression(self, level: int = 0, calls: Select | None = None):
+        levels = (("||",), ("&&",), COMPARED, ("+", "-"), ("*", "/"))
         if level == len(levels):
-            return self.primary()
-        left = self.expression(level + 1)
-        while self.peek()[0] == "op" and self.peek()[1] in levels[level]:
-            left = (self.next()[1], left, self.expression(level + 1))
-        return left
+            return self.primary(calls)
+        left = self.expression(level + 1, calls)
+        while True:
+            if self.peek()[0] == "op" and self.peek()[1] in levels[level]:
+                left = (self.next()[1], left, self.expression(level + 1, calls))
+            elif level == 2 and self.peek()[0] == "name" and self.peek()[1].upper() in ("IN", "NOT"):
+                negated = self.word("NOT")
+                self.word("IN")
+                self.need("(")
+                terms = []
+                while not self.mark(")"):
+                    terms.append(self.expression(calls=calls))
+                    self.mark(",")
+                left = ("!", ("in", left, tuple(terms))) if negated else ("in", left, tuple(terms))
+            else:
+                return left
+
+
+AGGREGATES = ("SUM", "COUNT", "MIN", "MAX", "AVG", "SAMPLE", "GROUP_CONCAT")
 
 
 def parse(text: str) -> Select:
@@ -215,6 +348,12 @@ def _uses(element, found: Counter) -> Counter:
             if made and made[1]:
                 found[made[1]] += 1
         _uses(element.where, found)
+        for name, _ in element.order:
+            found[name] += 1
+        _uses(element.having, found)
+    elif isinstance(element, tuple) and element and element[0] == "values":
+        for name in element[1]:
+            found[name] += 1
     elif isinstance(element, (list, tuple)) and not isinstance(element, Term):
         for part in element:
             _uses(part, found)
@@ -224,13 +363,7 @@ def _uses(element, found: Counter) -> Counter:
 # --- over DataFrames ------------------------------------------------------------------
 
 
-def _constant(t: Term) -> Column:
-    return term_column(t.kind, F.lit(t.lex), t.dt)
-
-
-def _same(column: Column, t: Term) -> Column:
-    """Equality of terms: kind, lexical form and datatype."""
-    return (column["kind"] == t.kind) & (column["lex"] == t.lex) & column["dt"].eqNullSafe(F.lit(t.dt))
+_same = same  # used by shapes as well
 
 
 def _star(quads: DataFrame, graph: str | None, subject, patterns: list, uses: Counter, bag: bool) -> DataFrame:
@@ -257,7 +390,7 @@ def _star(quads: DataFrame, graph: str | None, subject, patterns: list, uses: Co
             continue
         if o.name in seen:
             name = o.name
-            table = table.where(F.exists(f"_{i}", lambda x, name=name: (x["lex"] == F.col(name)["lex"]) & (x["kind"] == F.col(name)["kind"])))
+            table = table.where(F.exists(f"_{i}", lambda x, name=name: (x["lex"] == F.col(name)["lex"]) & (x["kind"] == F.col(name)["kind"]) & x["dt"].eqNullSafe(F.col(name)["dt"])))
         elif bag or uses[o.name] > 1:
             table = table.withColumn(o.name, F.explode(f"_{i}"))
             seen.add(o.name)
@@ -277,7 +410,7 @@ def _generic(quads: DataFrame, pattern: tuple) -> DataFrame:
 
 
 def _key(name: str) -> list[Column]:
-    return [F.col(name)["kind"], F.col(name)["lex"]]
+    return [F.col(name)["kind"], F.col(name)["lex"], F.coalesce(F.col(name)["dt"], F.lit(""))]
 
 
 def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -300,24 +433,47 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
     return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in common])
 
 
-def _value(e) -> Column:
-    return F.col(e.name) if isinstance(e, Var) else _constant(e)
+def _path_frame(quads: DataFrame, element: tuple, most_rounds: int = 64) -> DataFrame:
+    """Subject and object of a repeated path, joined one step further until nothing is new."""
+    _, graph, s, path, o = element
+    rows = quads.where(F.col("g") == graph) if graph else quads
+    pair = [("triple", graph, Var("_a"), path.parts[0], Var("_b"))] if isinstance(path.parts[0], Term) else []
+    if not pair:
+        _Parser("").triple(pair, graph, Var("_a"), path.parts[0], Var("_b"))
+    uses = Counter({"_a": 2, "_b": 2, **{f"_step{i}": 2 for i in range(1, 20)}})
+    one = _group_frame(quads, pair, uses, True).select(F.struct("_a.kind", "_a.lex", "_a.dt").alias("a"), F.struct("_b.kind", "_b.lex", "_b.dt").alias("b")).distinct()
+    known = one = written(one, "path-one")
+    if path.kind != "opt":
+        for _ in range(most_rounds):
+            further = known.join(one.select(F.col("a").alias("_m"), F.col("b").alias("_c")), F.col("b") == F.col("_m")).select("a", F.col("_c").alias("b"))
+            more = written(known.union(further).distinct(), "path")
+            if more.count() == known.count():
+                break
+            known = more
+        else:
+            raise RuntimeError(f"a path of over {most_rounds} steps")
+    if path.kind in ("star", "opt"):
+        nodes = rows.select(F.struct(F.lit("iri").alias("kind"), F.col("s").alias("lex"), F.lit(None).cast("string").alias("dt")).alias("n")).union(rows.select(F.struct("o.kind", "o.lex", "o.dt").alias("n")))
+        known = known.union(nodes.select(F.col("n").alias("a"), F.col("n").alias("b"))).distinct()
 
+    def term(column: str):
+        return term_column(F.col(column)["kind"], F.col(column)["lex"], F.col(column)["dt"])
 
-def _condition(e) -> Column:
-    if isinstance(e, tuple) and not isinstance(e, Term):
-        if e[0] == "!":
-            return ~_condition(e[1])
-        if e[0] in ("&&", "||"):
-            left, right = _condition(e[1]), _condition(e[2])
-            return left & right if e[0] == "&&" else left | right
-        a, b = _value(e[1]), _value(e[2])
-        x, y = number(a), number(b)
-        numeric = {"=": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[e[0]]
-        same = (a["kind"] == b["kind"]) & (a["lex"] == b["lex"]) & a["dt"].eqNullSafe(b["dt"])
-        text = {"=": same, "!=": ~same}.get(e[0], F.lit(None).cast("boolean"))
-        return F.when(x.isNotNull() & y.isNotNull(), numeric).otherwise(text)
-    return _value(e)["lex"] == "true"
+    out = {}
+    for part, column in ((s, "a"), (o, "b")):
+        if isinstance(part, Term):
+            known = known.where(same(F.col(column), part))
+        elif part.name in out:
+            known = known.where(F.col("a") == F.col("b"))
+        else:
+            out[part.name] = term(column)
+    return known.select(*[c.alias(n) for n, c in out.items()])
+
+
+def _values_frame(quads: DataFrame, element: tuple) -> DataFrame:
+    _, names, rows = element
+    kind = ", ".join(f"{n} {TERM}" for n in names)
+    return quads.sparkSession.createDataFrame([tuple(None if t is None else tuple(t) for t in r) for r in rows], kind)
 
 
 def _group_frame(quads: DataFrame, group: list, uses: Counter, bag: bool) -> DataFrame | None:
@@ -332,6 +488,10 @@ def _group_frame(quads: DataFrame, group: list, uses: Counter, bag: bool) -> Dat
         kind = element[0]
         if kind == "triple" and isinstance(element[3], Var):
             out = _join(out, _generic(quads, element))
+        elif kind == "path":
+            out = _join(out, _path_frame(quads, element))
+        elif kind == "values":
+            out = _join(out, _values_frame(quads, element))
         elif kind == "join":
             out = _join(out, _group_frame(quads, element[1], uses, bag))
         elif kind == "select":
@@ -349,9 +509,9 @@ def _group_frame(quads: DataFrame, group: list, uses: Counter, bag: bool) -> Dat
         elif kind in ("minus", "absent", "exists"):
             out = _join(out, _group_frame(quads, element[1], uses, bag), {"minus": "minus", "absent": "left_anti", "exists": "left_semi"}[kind])
         elif kind == "bind":
-            out = out.withColumn(element[1], _value(element[2]))
+            out = out.withColumn(element[1], value(element[2]))
         elif kind == "filter":
-            out = out.where(_condition(element[1]))
+            out = out.where(condition(element[1]))
     return out
 
 
@@ -368,51 +528,33 @@ def to_frame(quads: DataFrame, query: Select, bag: bool = True) -> DataFrame:
             if call is None:
                 continue
             function, argument = call
-            value = F.count("*") if argument is None else {
+            found = F.count("*") if argument is None else {
                 "SUM": lambda v: F.coalesce(F.sum(number(v)), F.lit(0)), "COUNT": F.count, "MIN": lambda v: F.min(number(v)),
                 "MAX": lambda v: F.max(number(v)), "AVG": lambda v: F.avg(number(v)), "SAMPLE": lambda v: F.min(v["lex"]),
                 "GROUP_CONCAT": lambda v: F.array_join(F.sort_array(F.collect_list(v["lex"])), " "),
             }[function](F.col(argument))
             kind = {"COUNT": INTEGER, "SAMPLE": None, "GROUP_CONCAT": None}.get(function, DECIMAL)
-            made.append(term_column("lit", value, kind).alias(name))
+            # No value, as MIN of nothing has, is no term.
+            made.append(F.when(found.isNotNull(), term_column("lit", found, kind)).alias(name))
         rows = rows.groupBy(*query.group_by).agg(*made)
-    rows = rows.select(*[n for n, _ in query.columns])
-    rows = rows.distinct() if query.distinct else rows
+    for test in query.having:
+        rows = rows.where(condition(test))
+    shown = [n for n, _ in query.columns if not n.startswith("_having")]
+    if query.distinct:
+        if not {n for n, _ in query.order} <= set(shown):
+            raise ValueError("ORDER BY of a DISTINCT query needs selected variables")
+        rows = rows.select(*shown).distinct()
+    if query.order:
+        # Numbers by value before texts, as in memory; no value comes first.
+        rows = rows.orderBy(*[part.desc_nulls_last() if down else part.asc_nulls_first() for name, down in query.order for part in (number(F.col(name)).isNull() & F.col(name).isNotNull(), number(F.col(name)), F.col(name)["lex"])])
+    rows = rows.select(*shown)
+    rows = rows.offset(query.offset) if query.offset else rows
     return rows.limit(query.limit) if query.limit is not None else rows
 
 
 # --- in memory ------------------------------------------------------------------------
 
 
-def as_number(t: Term | None) -> Decimal | None:
-    if t is None or t.kind != "lit" or t.dt not in NUMERIC:
-        return None
-    try:
-        return Decimal(t.lex)
-    except InvalidOperation:
-        return None
-
-
-def _holds(e, row: dict) -> bool | None:
-    if isinstance(e, tuple) and not isinstance(e, Term):
-        if e[0] == "!":
-            found = _holds(e[1], row)
-            return None if found is None else not found
-        if e[0] in ("&&", "||"):
-            both = [_holds(x, row) for x in e[1:]]
-            decisive = e[0] == "||"
-            return decisive if decisive in both else None if None in both else not decisive
-        a, b = (row.get(x.name) if isinstance(x, Var) else x for x in e[1:])
-        x, y = as_number(a), as_number(b)
-        if x is not None and y is not None:
-            return {"=": x == y, "!=": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[e[0]]
-        if a is None or b is None or e[0] not in ("=", "!="):
-            return None
-        return (a[:3] == b[:3]) == (e[0] == "=")
-    found = row.get(e.name) if isinstance(e, Var) else e
-    return None if found is None else found.lex == "true"
-
-
 def _extend(rows: list[dict], graph: dict, pattern: tuple) -> list[dict]:
     _, _, s, p, o = pattern
     out = []
@@ -439,6 +581,11 @@ def _group_rows(group: list, graph: dict, rows: list[dict]) -> list[dict]:
         kind = element[0]
         if kind == "triple":
             rows = _extend(rows, graph, element)
+        elif kind == "path":
+            rows = [{**r, **m} for r in rows for m in _path_rows(element, graph) if all(r.get(k, v)[:3] == v[:3] for k, v in m.items())]
+        elif kind == "values":
+            made = [{n: t for n, t in zip(element[1], x, strict=True) if t is not None} for x in element[2]]
+            rows = [{**r, **m} for r in rows for m in made if all(r.get(k, v)[:3] == v[:3] for k, v in m.items())]
         elif kind == "join":
             rows = _group_rows(element[1], graph, rows)
         elif kind == "select":
@@ -454,19 +601,52 @@ def _group_rows(group: list, graph: dict, rows: list[dict]) -> list[dict]:
             taken = _group_rows(element[1], graph, [{}])
             rows = [r for r in rows if not any(set(r) & set(t) and all(r[k][:3] == t[k][:3] for k in set(r) & set(t)) for t in taken)]
         elif kind == "bind":
-            rows = [{**r, element[1]: r.get(element[2].name) if isinstance(element[2], Var) else element[2]} for r in rows]
+            rows = [{**r, element[1]: evaluate(element[2], r)} for r in rows]
     for element in group:
         if element[0] == "filter":
-            rows = [r for r in rows if _holds(element[1], r)]
+            rows = [r for r in rows if holds(element[1], r)]
     return rows
 
 
+def _path_rows(element: tuple, graph: dict) -> list[dict]:
+    """Solutions of a repeated path, by search from every node."""
+    _, _, s, path, o = element
+    pair: list = []
+    _Parser("").triple(pair, None, Var("_a"), path.parts[0], Var("_b"))
+    step: dict = {}
+    for r in _group_rows(pair, graph, [{}]):
+        step.setdefault(r["_a"][:3], set()).add(r["_b"][:3])
+    nodes = {iri(n)[:3] for n in graph} | {t[:3] for ps in graph.values() for ts in ps.values() for t in ts}
+    found = set()
+    for node in nodes:
+        reached, todo = set(), set(step.get(node, ()))
+        while todo:
+            at = todo.pop()
+            reached.add(at)
+            if path.kind != "opt":
+                todo |= step.get(at, set()) - reached
+        found |= {(node, t) for t in reached | ({node} if path.kind in ("star", "opt") else set())}
+    out = []
+    for a, b in found:
+        row: dict = {}
+        for part, t in ((s, Term(*a)), (o, Term(*b))):
+            if isinstance(part, Term):
+                fits = part[:3] == t[:3]
+            else:
+                fits = row.setdefault(part.name, t)[:3] == t[:3]
+            if not fits:
+                break
+        else:
+            out.append(row)
+    return out
+
+
 def solve(query: Select, graph: dict, given: dict | None = None) -> list[dict]:
     """Solutions over ``graph`` (subject -> predicate -> terms); ``given`` binds variables."""
     rows = _group_rows(query.where, graph, [dict(given or {})])
     calls = [(n, c) for n, c in query.columns if c]
     if not calls:
-        return _cut([{n: r[n] for n, _ in query.columns if r.get(n) is not None} for r in rows], query)
+        return _cut([{n: v for n, v in r.items() if v is not None} for r in rows], query)
     groups: dict = {}
     for r in rows:
         groups.setdefault(tuple(r.get(v) for v in query.group_by), []).append(r)
@@ -480,7 +660,7 @@ def solve(query: Select, graph: dict, given: dict | None = None) -> list[dict]:
             found = _aggregate(function, bound, len(members) if argument is None else len(bound))
             if found is not None:
                 row[name] = found
-        out.append({n: row[n] for n, _ in query.columns if n in row})
+        out.append({n: v for n, v in row.items() if v is not None})
     return _cut(out, query)
 
 
@@ -500,6 +680,11 @@ def _aggregate(function: str, bound: list[Term], count: int) -> Term | None:
 
 
 def _cut(rows: list[dict], query: Select) -> list[dict]:
+    rows = [r for r in rows if all(holds(t, r) for t in query.having)]
+    for name, down in reversed(query.order):
+        rows.sort(key=lambda r, name=name: (0,) if name not in r else (1, as_number(r[name]), "") if as_number(r[name]) is not None else (2, 0, r[name].lex), reverse=down)
+    shown = [n for n, _ in query.columns if not n.startswith("_having")]
+    rows = [{n: r[n] for n in shown if n in r} for r in rows]
     if query.distinct:
         rows = list({tuple(sorted((k, v[:3]) for k, v in r.items())): r for r in rows}.values())
-    return rows if query.limit is None else rows[: query.limit]
+    return rows[query.offset :] if query.limit is None else rows[query.offset : query.offset + query.limit]
