@@ -45,10 +45,6 @@ def _equal(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("boolean")).when(x.isNotNull() & y.isNotNull(), x == y).otherwise((a["kind"] == b["kind"]) & (a["lex"] == b["lex"]) & a["dt"].eqNullSafe(b["dt"]))
 
 
-def _text(column: Column) -> Column:
-    return term_column("lit", column)
-
-
 def _known(test: Column, made: Column) -> Column:
     """A term, or none where its lexical form is null."""
     return F.when(test.isNotNull(), made)
@@ -58,6 +54,41 @@ def _made(column: Column, kind: str | None) -> Column:
     return _known(column, term_column("lit", column, kind, kind is not None))
 
 
+def _number(e) -> Column:
+    """The number of an expression, without a term around each step: terms are structs of
+    several uses of it, so nested ones would grow with a power of the depth."""
+    if isinstance(e, tuple) and not isinstance(e, Term):
+        if e[0] == "neg":
+            return -_number(e[1])
+        if e[0] in ("+", "-", "*", "/"):
+            x, y = _number(e[1]), _number(e[2])
+            made = {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: F.round(x * y, 6), "/": lambda: F.when(y != 0, F.round(x.cast("double") / y.cast("double"), 6).cast("decimal(38,6)"))}[e[0]]()
+            return made.cast("decimal(38,10)")
+        if e[0] == "call" and e[1] in ROUNDED:
+            return ROUNDED[e[1]][0](_number(e[2][0])).cast("decimal(38,10)")
+        if e[0] == "call" and e[1] in PARTS:
+            return F.regexp_extract(_lexical(e[2][0]), PARTS[e[1]], 1).try_cast("decimal(38,10)")
+        if e[0] == "call" and e[1] == "STRLEN":
+            return F.length(_lexical(e[2][0])).cast("decimal(38,10)")
+        if e[0] == "call" and e[1] == "IF":
+            return F.when(condition(e[2][0]), _number(e[2][1])).otherwise(_number(e[2][2]))
+    return number(value(e))
+
+
+def _lexical(e) -> Column:
+    """The lexical form of an expression, as ``_number``."""
+    if isinstance(e, tuple) and not isinstance(e, Term) and e[0] == "call":
+        if e[1] == "STR":
+            return _lexical(e[2][0])
+        if e[1] == "CONCAT":
+            return F.concat(*map(_lexical, e[2]))
+        if e[1] in TEXTS:
+            return TEXTS[e[1]][0](_lexical(e[2][0]))
+        if e[1] == "SUBSTR":
+            return F.substring(_lexical(e[2][0]), _number(e[2][1]).cast("int"), _number(e[2][2]).cast("int") if len(e[2]) > 2 else F.lit(1 << 30))
+    return value(e)["lex"]
+
+
 def value(e) -> Column:
     if isinstance(e, Var):
         return F.col(e.name)
@@ -69,28 +100,16 @@ def value(e) -> Column:
             return F.coalesce(*map(value, args))
         if e[1] == "IF":
             return F.when(condition(args[0]), value(args[1])).otherwise(value(args[2]))
-        if e[1] == "STR":
-            return _made(value(args[0])["lex"], None)
         if e[1] == "DATATYPE":
             found = value(args[0])["dt"]
             return _known(found, term_column("iri", found))
-        if e[1] == "CONCAT":
-            return _made(F.concat(*[value(a)["lex"] for a in args]), None)
-        if e[1] == "SUBSTR":
-            return _made(F.substring(value(args[0])["lex"], number(value(args[1])).cast("int"), number(value(args[2])).cast("int") if len(args) > 2 else F.lit(1 << 30)), None)
-        if e[1] in TEXTS:
-            return _made(TEXTS[e[1]][0](value(args[0])["lex"]), None)
-        if e[1] in PARTS:
-            return _made(F.regexp_extract(value(args[0])["lex"], PARTS[e[1]], 1).try_cast("decimal(38,10)"), DECIMAL)
+        if e[1] in ("STR", "CONCAT", "SUBSTR") or e[1] in TEXTS:
+            return _made(_lexical(e), None)
         if e[1] == "STRLEN":
-            return _made(F.length(value(args[0])["lex"]), INTEGER)
-        return _made(ROUNDED[e[1]][0](number(value(args[0]))), DECIMAL)
-    if e[0] == "neg":
-        return _made(-number(value(e[1])), DECIMAL)
-    if e[0] in ("+", "-", "*", "/"):
-        x, y = number(value(e[1])), number(value(e[2]))
-        made = {"+": x + y, "-": x - y, "*": F.round(x * y, 6), "/": F.when(y != 0, F.round(x.cast("double") / y.cast("double"), 6).cast("decimal(38,6)"))}[e[0]]
-        return _made(made.cast("decimal(38,10)"), DECIMAL)
+            return _made(F.length(_lexical(args[0])), INTEGER)
+        return _made(_number(e), DECIMAL)
+    if e[0] in ("neg", "+", "-", "*", "/"):
+        return _made(_number(e), DECIMAL)
     test = condition(e)
     return _known(test, term_column("lit", test.cast("string"), BOOLEAN, True))
 
