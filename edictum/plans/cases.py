@@ -7,7 +7,6 @@ written by ``run_step``; queries of one session over one folder share them.
 
 from __future__ import annotations
 
-import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,11 +107,19 @@ def fresh_step(spark: SparkSession, d: str, settings: dict | None = None, contex
     return run_step(spark, state(spark, d), log(spark, d), RULES, shapes(), {**SETTINGS, **(settings or {})}, contexts, domain=DOMAIN)
 
 
-@functools.lru_cache(maxsize=8)
-def _held(application: str, d: str, settings: str, contexts: str) -> Step:
-    return fresh_step(SparkSession.getActiveSession(), d, json.loads(settings), json.loads(contexts))
+_held: dict[tuple, Step] = {}
+
+
+def _still_there(spark: SparkSession, found: Step) -> bool:
+    """Whether the step's tables are in the shared folder yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = [path(x) for frame in (found.schedule, found.decisions) for x in frame.inputFiles()[:1]]
+    return all(f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(f) for f in files)
 
 
 def step(spark: SparkSession, d: str, settings: dict | None = None, contexts: dict | None = None) -> Step:
     """The step of a session over a folder, made once; its tables are in the shared folder."""
-    return _held(spark.sparkContext.applicationId, d, json.dumps(settings or {}, sort_keys=True), json.dumps(contexts or {}, sort_keys=True))
+    key = (spark.sparkContext.applicationId, d, json.dumps(settings, sort_keys=True), json.dumps(contexts, sort_keys=True))
+    if key not in _held or not _still_there(spark, _held[key]):
+        _held[key] = fresh_step(spark, d, settings, contexts)
+    return _held[key]
