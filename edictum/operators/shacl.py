@@ -13,11 +13,13 @@ from decimal import Decimal
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edictum.operators import sparql
 from edictum.sources.readers import triples_frame
+from edictum.sources.shared import written
 from edictum.sources.terms import RDF_TYPE, Term, number
 from edictum.sources.turtle import RDF, parse_turtle
 
@@ -277,18 +279,95 @@ def report(triples: DataFrame, constraints: list[Constraint]) -> tuple[bool, lis
 
 def conforms(spark: SparkSession, triples: DataFrame, constraints: list[Constraint], regime: str = "shacl", focus: set | None = None) -> tuple[bool, list[str]]:
     """``report`` by the compiled shapes (``shacl``), or by the checks that the fold makes
-    (``incremental``), of ``focus`` nodes where given.  The latter gathers the state."""
+    (``incremental``), of ``focus`` nodes where given.  Only the violations come to the driver."""
     if regime == "shacl":
         return report(triples, constraints)
     if regime != "incremental":
         raise ValueError(f"unknown validation regime: {regime!r}")
-    graph: dict = {}
-    for s, p, kind, lex, dt in triples.select("s", "p", "o.kind", "o.lex", "o.dt").collect():
-        graph.setdefault(s, {}).setdefault(p, []).append(Term(kind, lex, dt))
-    found = sorted(faults(graph, constraints, focus))
+    found = sorted(r.line for r in fault_lines(triples, constraints, focus).collect())
     return not found, found
 
 
+def _predicates(c: Constraint) -> set | None:
+    """The predicates that a local constraint looks at; None: any."""
+    if c.closed is not None:
+        return None
+    if c.logic is not None:
+        inner = [_predicates(x) for shape in c.logic[1] for x in shape]
+        return None if None in inner else set().union(*inner)
+    if c.select is not None:
+        named = {e[3].lex if isinstance(e[3], Term) else None for e in _triples(c.query().where)}
+        return None if None in named else named
+    return {c.path, *c.pairs.values()}
+
+
+def fault_lines(triples: DataFrame, constraints: list[Constraint], focus: set | None = None) -> DataFrame:
+    """line: the violations that ``faults`` finds, without a task that sees the whole state where
+    that is right.  Constraints that look at their own target only are checked subject by subject;
+    the others, if there are any, in one component, in one task, as the fold has it."""
+    for c in constraints:
+        if c.select is not None:
+            c.query()  # parsed here, once, and not by every worker
+    own, far = [c for c in constraints if c.local], [c for c in constraints if not c.local]
+    at_node = {c.target for c in own if c.target_kind == "node"}
+    rows = triples.select("s", "p", "o.kind", "o.lex", "o.dt")
+
+    def frame(lines: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    def by_subject(batches):
+        at, slots, out = None, {}, []
+        for batch in batches:
+            for s, p, *o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if s != at:
+                    out += checked(at, slots)
+                    at, slots = s, {}
+                if p is not None:
+                    slots.setdefault(p, []).append(Term(*o))
+            if out:
+                yield frame(out)
+                out = []
+        yield frame(out + checked(at, slots))
+
+    def checked(s: str | None, slots: dict) -> list[str]:
+        return [] if s is None else faults({s: slots}, [c for c in own if c.target_kind == "class" or c.target == s], focus)
+
+    def whole(batches):
+        graph: dict = {}
+        for batch in batches:
+            for s, p, *o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                graph.setdefault(s, {}).setdefault(p, []).append(Term(*o))
+        yield frame(faults(graph, far, focus))
+
+    parts = [triples.sparkSession.createDataFrame([], "line string")]
+    if own:
+        needed = [_predicates(c) for c in own]
+        mine = rows if None in needed else rows.where(F.col("p").isin(RDF_TYPE, *sorted(set().union(*needed))))
+        if at_node:  # checked also where the state doesn't have them
+            mine = mine.union(triples.sparkSession.createDataFrame([(s, None, None, None, None) for s in sorted(at_node)], mine.schema))
+        parts.append(mine.repartition("s").sortWithinPartitions("s").mapInArrow(by_subject, "line string"))
+    if far:
+        parts.append(rows.repartition(1).mapInArrow(whole, "line string"))
+    return reduce(DataFrame.union, parts)
+
+
+def report_row(lines: DataFrame) -> DataFrame:
+    """conforms, report: the lines in order as one text, null where there is none.  Ranges of
+    lines are sorted and joined apart, so that the last task has few and long pieces to join."""
+    lines = written(lines, "lines")  # the ranges' bounds are drawn from it
+
+    def joined(batches):
+        for batch in batches:
+            if batch.num_rows:
+                held = batch.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (held[0], held[-1], "\n".join(held))], names=["first", "last", "text"])
+
+    pieces = lines.repartitionByRange("line").sortWithinPartitions("line").mapInArrow(joined, "first string, last string, text string")
+    # Pieces that begin alike: one that also ends so holds that line only, and comes first.
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("first", "last", "text"))), lambda x: x["text"])
+    return pieces.agg((F.count("*") == 0).alias("conforms"), F.when(F.count("*") > 0, F.array_join(texts, "\n")).alias("report"))
+
+
 def validate_files(spark: SparkSession, data: str, shapes: str, regime: str = "shacl") -> tuple[bool, list[str]]:
     """Whether a Turtle file conforms to a file of shapes, and its violations."""
     triples = triples_frame(spark, parse_turtle(Path(data).read_text()))

@@ -461,8 +461,7 @@ def shape_universal(spark, d):
   SELECT count(*) = 0 AS conforms, string_agg(line, chr(10) ORDER BY line) AS report FROM v""")
 def validation_report(spark, d):
     chosen = [c for c in shacl.parse_shapes(CHECKS) if c.shape.rpartition(":")[2] in ("Enum", "Rule", "Range")]
-    ok, lines = shacl.conforms(spark, _raw_state(spark, d), chosen, "incremental")
-    return spark.createDataFrame([(ok, "\n".join(lines))], "conforms boolean, report string")
+    return shacl.report_row(shacl.fault_lines(_raw_state(spark, d), chosen))
 
 
 # --- steps ----------------------------------------------------------------------------

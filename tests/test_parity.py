@@ -280,3 +280,50 @@ def test_modes_agree_where_constraints_are_local(spark):
     both = [resolution.resolve(step.state, step.schedule, presets.HVAC_SHAPES, HVAC, mode=m).select("schedule_index", "accepted", "reason", "blocked_by_aid") for m in ("zone", "global")]
     rows = [sorted(map(tuple, b.collect()), key=str) for b in both]
     assert rows[0] == rows[1] and len({r[2][:8] for r in rows[0]}) >= 3
+
+
+def test_checks_of_the_fold_are_dealt_out(spark):
+    """Local constraints by subject, the others whole: what they find in one graph in memory."""
+    shapes = shacl.parse_shapes(f"""
+      @prefix sh: <{shacl.SH}> . @prefix a: <{A}> .
+      a:Size a sh:NodeShape ; sh:targetClass a:Red ; sh:property [ sh:path a:size ; sh:minCount 1 ; sh:maxInclusive 2 ; sh:lessThan a:high ] .
+      a:There a sh:NodeShape ; sh:targetNode a:n3, a:nowhere ; sh:property [ sh:path a:size ; sh:minCount 1 ] .
+      a:Shut a sh:NodeShape ; sh:targetClass a:Blue ; sh:closed true ; sh:property [ sh:path a:size ; sh:maxCount 1 ] .
+      a:Logic a sh:NodeShape ; sh:targetClass a:Blue ; sh:not [ sh:path a:high ; sh:minCount 1 ] .
+      a:Own a sh:NodeShape ; sh:targetClass a:Red ; sh:sparql [ sh:message "named" ; sh:select "PREFIX a: <{A}> SELECT $this WHERE {{ $this ?p ?name . FILTER (?name = \\"x\\") }}" ] .
+      a:Next a sh:NodeShape ; sh:targetClass a:Red ; sh:property [ sh:path a:next ; sh:class a:Red ] .""")
+    assert [c.shape for c in shapes if not c.local] == [A + "Next"]
+    rng, rows = random.Random(4), []
+    for i in range(300):
+        n = f"{A}n{i}"
+        rows.append((n, RDF_TYPE, iri(A + rng.choice(("Red", "Blue")))))
+        rows += [(n, A + slot, Term("lit", str(rng.randint(0, 4)), INTEGER)) for slot in ("size", "high") for _ in range(rng.choice((0, 1, 2)))]
+        rows += [(n, A + "name", Term("lit", rng.choice("xy"))), (n, A + "next", iri(f"{A}n{rng.randrange(300)}"))]
+    graph: dict = {}
+    for s, p, o in dict.fromkeys(rows):
+        graph.setdefault(s, {}).setdefault(p, []).append(o)
+    state, some = readers.triples_frame(spark, rows), {f"{A}n{i}" for i in range(0, 300, 7)}
+    for chosen in (shapes, [c for c in shapes if c.local], [c for c in shapes if c.shape == A + "Size"]):
+        for focus in (None, some):
+            want = sorted(shacl.faults(graph, chosen, focus))
+            assert sorted(r.line for r in shacl.fault_lines(state, chosen, focus).collect()) == want and want
+    assert {x.split()[0].removeprefix(A) for x in shacl.faults(graph, shapes)} == {"Size", "There", "Shut", "Logic", "Own", "Next"}
+    lines = shacl.fault_lines(state, shapes)
+    want = "\n".join(sorted(shacl.faults(graph, shapes)))
+    twice = lines.union(lines)
+    assert tuple(shacl.report_row(lines).first()) == (False, want)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # lines repeat beyond a piece
+    try:
+        assert shacl.report_row(twice).first().report == "\n".join(x for line in want.split("\n") for x in (line, line))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert tuple(shacl.report_row(lines.limit(0)).first()) == (True, None)
+
+
+def test_validation_report_is_made_by_executors(spark, monkeypatch):
+    from edictum.plans import catalog
+
+    monkeypatch.setattr(type(spark.range(0)), "collect", None)
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", None)
+    found = catalog.QUERIES["validation_report"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["conforms", "report"]
