@@ -327,3 +327,25 @@ def test_validation_report_is_made_by_executors(spark, monkeypatch):
     monkeypatch.setattr(type(spark.range(0)), "toArrow", None)
     found = catalog.QUERIES["validation_report"](spark, "/root/testdata/sf0.001")
     assert found.columns == ["conforms", "report"]
+
+
+def test_products_are_whole_and_small_in_files(spark, tmp_path):
+    def side(name: str, n: int):
+        return spark.range(n).select(F.struct(F.lit("iri").alias("kind"), F.concat(F.lit(f"urn:{name}:"), F.col("id") * 7919).alias("lex")).alias(name)).repartition(2, name)
+
+    left, right = side("x", 400), side("y", 6000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = {}
+        for name, frame in (("plain", left.crossJoin(right)), ("joined", sparql._join(left, right))):
+            path = tmp_path / name
+            frame.select("x.lex", F.col("y.lex").alias("other")).write.parquet(str(path))
+            sizes[name] = sum(f.stat().st_size for f in path.glob("*.parquet"))
+        assert 3 * sizes["joined"] < sizes["plain"]
+        assert spark.read.parquet(str(tmp_path / "joined")).exceptAll(spark.read.parquet(str(tmp_path / "plain"))).count() == 0
+        assert spark.read.parquet(str(tmp_path / "joined")).count() == 400 * 6000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for a, b in ((left.limit(0), right), (left, right.limit(0))):
+        assert sparql._join(a, b).columns == ["x", "y"] and sparql._join(a, b).count() == 0
+    assert sparql._join(left.select(), right.limit(5)).count() == 2000 and sparql._join(left.limit(5), right.select()).count() == 30000
