@@ -1,9 +1,13 @@
 """Near copies for the pipeline: documents whose sets of 5-word shingles have a Jaccard
 similarity of 0.8 or more, found exactly.
 
-At a similarity of 0.8 two 64-bit SimHash fingerprints are about ten bits apart, some
-more, so no radius that keys can serve finds all pairs.  Candidates come from prefix filtering
-instead: with the shingles of every set in one global order, two sets that similar share one of
+Candidates come from op 7 first: the sets' SimHash fingerprints, joined by Golay keys and
+verified to two bits (``simhash.links``).  Each such pair is compared by its whole sets, as
+fingerprints can be close by chance, and what is linked then is one component.
+
+At a similarity of 0.8 two fingerprints are about ten bits apart, some more, so no radius that
+keys can serve finds all pairs.  Between the components the others come from prefix filtering:
+with the shingles of every set in one global order, two sets that similar share one of
 the first n - ceil(0.8 n) + 1 of each, and as many of them as ``_enough`` says.  Pairs that
 meet both bounds are compared by their whole sets, so nothing is lost and nothing is guessed.
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from edictum.llm.common import saved, slices
 from edictum.llm.graph import components
-from edictum.llm.simhash import shingle_hashes
+from edictum.llm.simhash import links, majority, shingle_hashes
 
 SIZE = 5
 HOT = 8
@@ -81,15 +85,16 @@ def _hot(docs: DataFrame) -> np.ndarray:
 
 
 def _set_ids(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, id of every row."""
+    """doc_id, text_key, id, fp (the set's fingerprint) of every row."""
 
     def run(batches):
         for batch in slices(batches):
-            ids = [set_id(shingle_set(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64())], names=["doc_id", "text_key", "id"])
+            found = [shingle_set(t) for t in batch.column(2).to_pylist()]
+            made = [pa.array([f(x) for x in found], pa.int64()) for f in (set_id, majority)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "text_key", "id", "fp"])
 
     rows = _texts(docs).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, id long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, id long, fp long")
 
 
 def _postings(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -163,15 +168,26 @@ def _star_pairs(rooted: DataFrame, bucket: int, turn: int) -> DataFrame:
     return counted.groupBy(F.col("id").alias("v")).agg(F.max_by("x", F.struct("met", "x")).alias("u")).select("u", "v")
 
 
+def fingerprint_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """u, v: similar sets whose fingerprints are two bits apart or less; for each fingerprint
+    its least set is held against its others and against those of the linked fingerprints."""
+    sets = saved(rows.groupBy("id").agg(F.min("fp").alias("fp")), "set-fps")
+    least = saved(sets.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fps")
+    alike = sets.join(least, "fp").where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+    first, second = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
+    near = links(least).join(first, "u").join(second, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return saved(_similar(docs, rows, saved(alike.union(near), "fingerprint-pairs")), "fingerprint-links")
+
+
 def similar_links(docs: DataFrame, rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """u, v: links between set ids that connect all pairs of similar sets."""
     posts = saved(_postings(docs, _hot(docs)), "prefixes")
     counts = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     posts = saved(posts.join(counts, "key"), "shared-prefixes")
-    rooted, linked = posts.withColumn("root", F.col("id")), None
+    rooted, linked = posts.withColumn("root", F.col("id")), fingerprint_links(docs, rows)
     for turn in range(TURNS):
         more = _similar(docs, rows, saved(_star_pairs(rooted, bucket, turn), "star-pairs"))
-        linked = saved(more if linked is None else linked.union(more), "star-links")
+        linked = saved(linked.union(more), "star-links")
         rooted = _rooted(posts, linked)
     sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")

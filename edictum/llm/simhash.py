@@ -61,8 +61,11 @@ def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
 
 
 def fingerprint(text: str | None) -> int:
+    return majority(shingle_hashes(text))
+
+
+def majority(hashes: np.ndarray) -> int:
     """A bit is 1 if set in over half of the shingles' hashes; signed 64-bit."""
-    hashes = shingle_hashes(text)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536]

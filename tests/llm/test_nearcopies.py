@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from edictum.llm import nearcopies
+from edictum.llm import nearcopies, simhash
 
 
 def brute_first(rows):
@@ -59,3 +59,40 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.columns == frame.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id is not None) == [(1, "x y z u v w"), (3, "a b c d e f"), (9, "")]
     assert [r.text for r in kept.collect() if r.doc_id is None] == ["only here is it said so"]
+
+
+def test_fingerprints_come_first(spark, monkeypatch):
+    """The links of op 7's operator over five-word sets, and only those that the sets bear out."""
+    rng = random.Random(11)
+    names = ["w" + str(i) for i in range(3000)]
+    texts = []
+    for _ in range(4):
+        base = rng.choices(names, k=1500)
+        for _ in range(12):
+            edited = list(base)
+            edited[rng.randrange(1500)] = rng.choice(names)
+            texts.append(" ".join(edited))
+    texts += [" ".join(rng.choices(names, k=300)) for _ in range(20)] + [None, "", texts[0]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {nearcopies.set_id(x): x for x in map(nearcopies.shingle_set, texts)}
+    fps = {i: nearcopies.majority(x) for i, x in sets.items()}
+    near = {(a, b) for a in sets for b in sets if a < b and ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2}
+    assert sum(fps[a] != fps[b] for a, b in near) > 5
+    asked = []
+    monkeypatch.setattr(nearcopies, "links", lambda fps: asked.append(1) or simhash.links(fps))
+    rows = nearcopies._set_ids(frame)
+    got = {(min(r), max(r)) for r in map(tuple, nearcopies.fingerprint_links(frame, rows).collect())}
+    assert got <= near and asked == [1]
+
+    def groups(pairs):
+        root = {i: i for i in sets}
+        for _ in sets:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert groups(got) == groups(near)
+    # A fingerprint that is close by chance links nothing.
+    monkeypatch.setattr(nearcopies, "majority", lambda x: 5)
+    kept = nearcopies.first_of_each(frame.where("doc_id >= 47")).collect()
+    assert sorted(r.doc_id for r in kept) == [*range(47, 69), 70] and asked == [1, 1]
