@@ -18,6 +18,9 @@ Large groups: documents with equal sets are one.  On prefix shingles of over ``B
 each is first compared with one other, in ``TURNS`` turns; what these links join is one
 component, and pairs inside a component are never compared.
 
+Disk: a turn's components go on as one link for each set, and tables and shuffle files are deleted
+once the next table is written; what a document puts on disk does not grow with turns or rounds.
+
 Defined cases: words and shorter texts as in ``simhash.shingle_hashes``; null and wordless texts
 have the empty set and are copies of each other; very long texts are taken whole; a null doc_id
 takes part but is not chosen as a component's name where there is another; of repeated rows one
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edictum.llm.common import saved, slices
+from edictum.llm.common import done_with, handed_on, saved, scratch, shuffles_deleted, slices
 from edictum.llm.graph import components
 from edictum.llm.simhash import links, majority, shingle_hashes
 
@@ -131,10 +134,12 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _similar(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """u, v: the pairs whose Jaccard similarity is 0.8 or more."""
-    sets = saved(_sets(docs, rows, pairs), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-    return both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v")
+    """u, v: the pairs whose Jaccard similarity is 0.8 or more; a table that is written."""
+    with scratch(docs.sparkSession):
+        pairs = saved(pairs.select("u", "v"), "pairs")
+        sets = saved(_sets(docs, rows, pairs), "sets")
+        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+        return handed_on(saved(both.where(9 * F.size(F.array_intersect("a", "b")) >= 4 * (F.size("a") + F.size("b"))).select("u", "v"), "similar-pairs"))
 
 
 def _near_sizes(n, m):
@@ -149,8 +154,8 @@ def _enough(n, m, met):
 
 
 def _rooted(posts: DataFrame, linked: DataFrame) -> DataFrame:
-    """``posts`` with the least id that ``linked`` joins each set to as its root."""
-    root = components(linked).withColumnsRenamed({"u": "id", "v": "root"})
+    """``posts`` with the least id of its component in ``linked`` as each set's root."""
+    root = linked.withColumnsRenamed({"u": "id", "v": "root"})
     return saved(posts.select("key", "id", "n", "c").join(root, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
 
 
@@ -171,39 +176,48 @@ def _star_pairs(rooted: DataFrame, bucket: int, turn: int) -> DataFrame:
 def fingerprint_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: similar sets whose fingerprints are two bits apart or less; for each fingerprint
     its least set is held against its others and against those of the linked fingerprints."""
-    sets = saved(rows.groupBy("id").agg(F.min("fp").alias("fp")), "set-fps")
-    least = saved(sets.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fps")
-    alike = sets.join(least, "fp").where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
-    first, second = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
-    near = links(least).join(first, "u").join(second, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    return saved(_similar(docs, rows, saved(alike.union(near), "fingerprint-pairs")), "fingerprint-links")
+    with scratch(docs.sparkSession):
+        sets = saved(rows.groupBy("id").agg(F.min("fp").alias("fp")), "set-fps")
+        least = saved(sets.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fps")
+        alike = sets.join(least, "fp").where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"))
+        first, second = (least.select(F.col("fp").alias(c), F.col("least").alias(f"_{c}")) for c in ("u", "v"))
+        near = links(least).join(first, "u").join(second, "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+        return handed_on(_similar(docs, rows, alike.union(near)))
 
 
 def similar_links(docs: DataFrame, rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """u, v: links between set ids that connect all pairs of similar sets."""
-    posts = saved(_postings(docs, _hot(docs)), "prefixes")
-    counts = posts.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    posts = saved(posts.join(counts, "key"), "shared-prefixes")
-    rooted, linked = posts.withColumn("root", F.col("id")), fingerprint_links(docs, rows)
-    for turn in range(TURNS):
-        more = _similar(docs, rows, saved(_star_pairs(rooted, bucket, turn), "star-pairs"))
-        linked = saved(linked.union(more), "star-links")
-        rooted = _rooted(posts, linked)
-    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
-    live = saved(rooted.join(main, "key"), "mixed-prefixes")
-    left = live.where("root <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    right = live.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    met = left.join(right, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _near_sizes(F.col("na"), F.col("nb")))
-    u, v = F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")
-    pairs = met.groupBy(u, v).agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(_enough(F.col("na"), F.col("nb"), F.col("met")))
-    return linked.union(_similar(docs, rows, saved(pairs.select("u", "v"), "pairs")))
+    with scratch(docs.sparkSession):
+        found = saved(_postings(docs, _hot(docs)), "prefixes")
+        counts = found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        posts = saved(found.join(counts, "key"), "shared-prefixes")
+        done_with(found)
+        linked = fingerprint_links(docs, rows)
+        rooted = posts.withColumn("root", F.col("id"))
+        for turn in range(TURNS):
+            more = _similar(docs, rows, _star_pairs(rooted, bucket, turn))
+            if turn and more.isEmpty():
+                continue
+            before, linked = linked, components(linked.union(more))
+            done_with(before, more, rooted)
+            rooted = _rooted(posts, linked)
+        done_with(posts)
+        sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", "main")
+        live = saved(rooted.join(main, "key"), "mixed-prefixes")
+        done_with(rooted)
+        left = live.where("root <> main").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        right = live.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
+        met = left.join(right, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _near_sizes(F.col("na"), F.col("nb")))
+        u, v = F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")
+        pairs = met.groupBy(u, v).agg(F.count("*").alias("met"), F.first("na").alias("na"), F.first("nb").alias("nb")).where(_enough(F.col("na"), F.col("nb"), F.col("met")))
+        return handed_on(saved(linked.union(_similar(docs, rows, pairs)), "similar"))
 
 
 def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, component_id of every document (and text_key and the component's set id)."""
     rows = saved(_set_ids(docs), "set-ids")
-    root = components(saved(similar_links(docs, rows, bucket), "similar")).withColumnsRenamed({"u": "id", "v": "root"})
+    root = components(similar_links(docs, rows, bucket)).withColumnsRenamed({"u": "id", "v": "root"})
     named = rows.groupBy("id").agg(F.min("doc_id").alias("first")).join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return rows.join(named.join(least, "root").select("id", "root", "component_id"), "id").select("doc_id", "component_id", "text_key", "root")
@@ -212,9 +226,10 @@ def near_copies(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: of least doc_id (null last), then of least text hash;
     of rows that are equal in both any one."""
-    found = near_copies(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key"))
-    keep = saved(found.groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_keep"), F.col("f.text_key").alias("_key")), "kept-ids")
+    with scratch(docs.sparkSession), shuffles_deleted(docs.sparkSession):
+        found = near_copies(docs)
+        keep = handed_on(saved(found.groupBy("root").agg(first.alias("f")).select(F.col("f.doc_id").alias("_keep"), F.col("f.text_key").alias("_key")), "kept-ids"))
     names = [f"_d{i}" for i in range(len(docs.columns))]
     rows = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)], docs["doc_id"].alias("_id"), F.xxhash64(docs["text"].cast("string")).alias("_text"))
     mine = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_text") == F.col("_key")), "left_semi").dropDuplicates(["_id", "_text"])

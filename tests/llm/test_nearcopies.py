@@ -1,10 +1,12 @@
 """The pipeline's near-dedup against all pairs by brute force."""
 
+import os
 import random
+import time
 
 import pytest
 
-from edictum.llm import nearcopies, simhash
+from edictum.llm import common, graph, nearcopies, simhash
 
 
 def brute_first(rows):
@@ -96,3 +98,57 @@ def test_fingerprints_come_first(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "majority", lambda x: 5)
     kept = nearcopies.first_of_each(frame.where("doc_id >= 47")).collect()
     assert sorted(r.doc_id for r in kept) == [*range(47, 69), 70] and asked == [1, 1]
+
+
+def test_tables_and_shuffle_files_go(spark, monkeypatch):
+    """Only the chosen rows' ids outlast the stage, and few tables and shuffles lie there at once."""
+    rng = random.Random(5)
+    names = ["w" + str(i) for i in range(500)]
+    shared, texts = rng.choices(names, k=60), []
+    for _ in range(6):
+        base = rng.choices(names, k=150) + shared
+        for _ in range(4):
+            base[rng.randrange(len(base))] = rng.choice(names)
+            texts.append(" ".join(base))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = f"{common.shared_dir(spark).removeprefix('file:')}/{spark.sparkContext.applicationId}"
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def tables():
+        return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+    def shuffles():
+        return {n.split("_")[1] for n in (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())) if n.startswith("shuffle_")}
+
+    old, asked, most, real = (tables(), shuffles()), spark.conf.get(common.SHUFFLES, None), [], common.saved
+
+    def counted(df, name):
+        found = real(df, name)
+        most.append(len(tables() - old[0]))
+        return found
+
+    for module in (common, graph, nearcopies, simhash):
+        monkeypatch.setattr(module, "saved", counted)
+    nearcopies.first_of_each(frame)
+    assert sorted(n.rsplit("-", 1)[0] for n in tables() - old[0]) == ["kept-ids"]
+    assert max(most) <= 10 < len(most)
+    for _ in range(50):
+        if len(left := shuffles() - old[1]) <= 10:
+            break
+        time.sleep(0.2)
+    assert len(left) <= 10
+    assert spark.conf.get(common.SHUFFLES, None) == asked
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    for edges in ([], [(1, 2)], [(i, i + 1) for i in range(40)], [(rng.randrange(60), rng.randrange(60)) for _ in range(45)], [(5, 5), (7, -3), (-3, 9), (7, 9)]):
+        root = {x: x for e in edges for x in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        got = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert sorted(map(tuple, got)) == sorted((x, r) for x, r in root.items() if x != r)
+    assert graph._is_forest(spark.createDataFrame([(2, 1), (3, 1), (5, 4)], "u long, v long"))
+    assert not graph._is_forest(spark.createDataFrame([(2, 1), (3, 2)], "u long, v long"))
+    assert not graph._is_forest(spark.createDataFrame([(3, 1), (3, 2)], "u long, v long"))
