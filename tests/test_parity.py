@@ -349,3 +349,21 @@ def test_products_are_whole_and_small_in_files(spark, tmp_path):
     for a, b in ((left.limit(0), right), (left, right.limit(0))):
         assert sparql._join(a, b).columns == ["x", "y"] and sparql._join(a, b).count() == 0
     assert sparql._join(left.select(), right.limit(5)).count() == 2000 and sparql._join(left.limit(5), right.select()).count() == 30000
+
+
+def test_conditions_write_the_quads_that_they_name(spark, monkeypatch):
+    from edictum.plans import step_queries
+
+    def named(text: str):
+        return sparql.predicates(sparql.parse("PREFIX a: <urn:acc:> SELECT * WHERE { " + text + " }"))
+
+    assert named("?s a:x ?o ; a a:Zone . OPTIONAL { ?s a:y/^a:z ?o } FILTER NOT EXISTS { ?s a:w+ ?o }") == {RDF_TYPE, *[f"urn:acc:{c}" for c in "xyzw"]}
+    assert named("{ ?s a:x 1 } UNION { SELECT ?s WHERE { GRAPH <urn:g> { ?s a:y|a:z ?o } } } MINUS { ?s a:w 2 } FILTER (?o > 3)") == {f"urn:acc:{c}" for c in "xyzw"}
+    assert named("?s a:x ?o . FILTER EXISTS { ?s ?p 1 }") is None and named("?s a:x* ?o") is None and named("?s (a:x/a:y?)+ ?o") is None
+    held, whole = [], step_queries.written
+    monkeypatch.setattr(step_queries, "written", lambda df, name: held.append(whole(df, name)) or held[-1])
+    made = step_queries.event_state_cross(spark, "/root/testdata/sf0.001")
+    assert {r.p for r in held[0].select("p").distinct().collect()} == {RDF_TYPE, "urn:acc:segment", "urn:prop:type", "urn:prop:eid", "urn:prop:cents"}
+    monkeypatch.setattr(step_queries.sparql, "predicates", lambda query: None)
+    every = step_queries.event_state_cross(spark, "/root/testdata/sf0.001")
+    assert made.count() == every.count() > 0 and made.exceptAll(every).isEmpty()
